@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: At most two masks may be joined at once.
 MASKS = ("11101011", "110100111")
 SHORT_MASK = "11111"
 WINDOW, EQUAL, SHORTEST = 13, 11, 5
@@ -52,9 +53,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     per_doc = hits.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "_d", "_n")).alias("_hits")).withColumnRenamed("doc_id", "_hd")
     again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_hd"))).select("doc_id", "_hits", word_hashes(F.col("_text")).alias("_dh"))
     cut = F.transform("_hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["_d"].alias("_d"), F.slice(F.col("_dh"), F.greatest(h["_d"], F.lit(0)) + 1, h["_n"]).alias("_dw")))
-    hits = again.select("doc_id", F.explode(cut).alias("h")).select("doc_id", "h.item_id", "h._d", "h._dw").join(side(items), "item_id")
+    hits = again.select("doc_id", F.explode_outer(cut).alias("h")).select("doc_id", "h.item_id", "h._d", "h._dw").join(side(items), "item_id")
     agree = F.filter(F.sequence(F.lit(0), F.size("_ih") - 1), lambda j: F.get(F.col("_dw"), j - F.greatest(-F.col("_d"), F.lit(0))) == F.get(F.col("_ih"), j))
-    seen = hits.withColumn("_at", agree)
+    # explode() of one array: the optimiser cannot repeat the filter inside the lambda functions below
+    seen = hits.withColumn("_at", F.explode_outer(F.array(agree)))
     full = F.exists(F.transform("_at", lambda x, i: F.get(F.col("_at"), i + (EQUAL - 1)) - x), lambda v: v <= WINDOW - 1)
     ok = F.when(F.size("_ih") >= WINDOW, full).otherwise(F.size("_at") == F.size("_ih"))
     best = seen.where(ok).groupBy("doc_id", "item_id").agg(F.max(F.size("_at")).cast("long").alias("matched"), F.min_by("_d", F.struct(-F.size("_at"), F.col("_d"))).cast("long").alias("doc_start"))
@@ -67,16 +69,18 @@ def word_hashes(text: Column) -> Column:
 
 
 def _hits(hashed: DataFrame, items: DataFrame, masks: tuple[str, ...], side) -> DataFrame:
-    """``(doc_id, item_id, _d, _n)``: seed hits; ``_d`` is where the item of ``_n`` words would begin in the document."""
+    """``(doc_id, item_id, _d, _n)``: seed hits; ``_d`` is where the item of ``_n`` words would begin in the document.
+
+    Outer explodes keep the optimiser from inferring a size filter that would repeat the hashing, word by word.
+    """
     seeds = None
     for mask in masks:
-        part = items.select("item_id", F.size("_ih").alias("_n"), F.posexplode(_seeds("_ih", mask)).alias("_j", "_seed"))
+        part = items.select("item_id", F.size("_ih").alias("_n"), F.posexplode_outer(_seeds("_ih", mask)).alias("_j", "_seed"))
         seeds = part if seeds is None else seeds.unionByName(part)
-    every = None
-    for mask in masks:
-        part = hashed.select("doc_id", _seeds("_dh", mask).alias("_s")).select("doc_id", F.posexplode("_s").alias("_i", "_seed"))
-        every = part if every is None else every.unionByName(part)
-    return every.join(side(seeds), "_seed").select("doc_id", "item_id", (F.col("_i") - F.col("_j")).alias("_d"), "_n")
+    both = hashed.select("doc_id", F.greatest(F.size("_dh") - len(masks[0]) + 1, F.lit(0)).alias("_n0"), F.concat(*[_seeds("_dh", m) for m in masks]).alias("_s"))
+    every = both.select("doc_id", "_n0", F.posexplode_outer("_s").alias("_p", "_seed"))  # a seed hash holds its mask, so only the places need care
+    i = F.when(F.col("_p") >= F.col("_n0"), F.col("_p") - F.col("_n0")).otherwise(F.col("_p"))
+    return every.join(side(seeds), "_seed").select("doc_id", "item_id", (i - F.col("_j")).alias("_d"), "_n")
 
 
 def sql() -> str:
