@@ -44,7 +44,18 @@ def durable(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/siftlake/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _OWN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    # the shuffles of the query just written are of no more use; the driver's cleaner drops them once they are collected
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``durable`` wrote, when everything that reads it has itself been written."""
+    spark, path = df.sparkSession, df._durable_path
+    discard(path, spark)
+    _OWN.remove((spark, path))
 
 
 def discard(df_path: str, spark: SparkSession) -> None:
