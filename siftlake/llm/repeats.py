@@ -112,8 +112,8 @@ def sketch(docs: DataFrame, units: Units, whole: Callable[[bytes], tuple[int, st
 
 def distinct_documents(sk: DataFrame) -> DataFrame:
     """``(doc_id, th, digest, n, sha, first)``, one row a document; ``first``: no smaller id has the very same text."""
-    heads = sk.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    # copies of one text may be a third of all rows: a join that AQE can split, not a window
+    # copies of one text may be a third of all rows: a join that AQE can split, as both sides are exchanged for it
+    heads = durable(sk.groupBy("digest").agg(F.min("doc_id").alias("least")), "heads")
     return sk.select("doc_id", "th", "digest", "n", "sha").join(heads, "digest").select("doc_id", "th", "digest", "n", "sha", (F.col("doc_id") == F.col("least")).alias("first")).dropDuplicates(["doc_id", "th"])
 
 
@@ -125,6 +125,7 @@ def repeated_anchors(sk: DataFrame, first: DataFrame, within: bool) -> DataFrame
     own = sk.join(first.where("first").select("doc_id", "th"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
     one = own.select("doc_id", "th", F.explode(F.arrays_zip("anchors", "many")).alias("a")).select(F.col("a.anchors").alias("h"), "doc_id", "th", F.col("a.many").alias("m"))
     times = one.groupBy("h").agg(F.sum(F.when(F.col("m") & F.lit(within), 2).otherwise(1)).alias("k")).where("k > 1")
+    times = durable(times, "times")  # an aggregate right below the join would keep AQE from splitting a hot anchor
     kept = one.join(times, "h").select("doc_id", "th", F.col("h"), (F.col("k") > HOT).alias("hot"))
     return kept.groupBy("doc_id", "th").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hot"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import repeats as R
-from siftlake.session import durable
+from siftlake.session import durable, release
 
 
 class _Hashes(dict):
@@ -59,10 +59,14 @@ def word_substrings(docs: DataFrame, span: int = 50, id_col: str = "doc_id", tex
     all_ = durable(R.distinct_documents(sk), "documents")
     cand = R.repeated_anchors(sk, all_, within=False)
     found = durable(rows.join(cand, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th").mapInArrow(_second_level(span, base), _FOUND), "windows")
+    release(sk)
     wide = found.where("h1 is not null")
     least = wide.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = durable(least, "least")  # see repeated_anchors: lets AQE split the join
     later = wide.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "th", "at", (F.col("at") + span).alias("upto"))
     ranges = found.where("h1 is null").select("doc_id", "th", "at", "upto").unionByName(later)
+    ranges = durable(ranges, "ranges")
+    release(found)
     grouped = ranges.groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"), F.collect_list("upto").alias("ends"))
     cut = rows.join(grouped, ["doc_id", "th"]).mapInArrow(_cut, "doc_id bigint, th bigint, n_removed bigint, kept string, ranges array<struct<at:bigint,upto:bigint>>").dropDuplicates(["doc_id", "th"])
     copy = ~F.col("first") & (F.col("n") >= span)

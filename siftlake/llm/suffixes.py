@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import repeats as R
-from siftlake.session import durable
+from siftlake.session import durable, release
 
 BASE = 32
 GROUP = 8
@@ -251,9 +251,11 @@ def byte_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_
     all_ = durable(R.distinct_documents(sk), "documents")
     cand = R.repeated_anchors(sk, all_, within=True)
     found = durable(rows.join(cand, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th").mapInArrow(_contexts(span, min(BASE, span), GROUP), _FOUND), "contexts")
+    release(sk)
     dealt = found.where("key is not null").repartition("key").sortWithinPartitions("key", "doc_id", "th", "at")
     ranges = dealt.mapInArrow(_buckets(span), "doc_id bigint, th bigint, at bigint, upto bigint").unionByName(found.where("key is null").select("doc_id", "th", "at", "upto"))
     ranges = durable(ranges, "ranges")
+    release(found)
     grouped = ranges.groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"), F.collect_list("upto").alias("ends"))
     cut = rows.join(grouped, ["doc_id", "th"]).mapInArrow(_cut(keep_text), "doc_id bigint, th bigint, n_removed bigint, n_spans bigint, sha2 string, kept string").dropDuplicates(["doc_id", "th"])
     copy = ~F.col("first") & (F.col("n") >= span)
