@@ -71,9 +71,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = durable(fingerprints(docs, id_col, text_col, width), "fps")
     classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     links = link_fingerprints(classes.select("fp"), radius, cell)
-    named = links.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    comp = connected_components(named.select("ra", "rb"), "ra", "rb")
-    root = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    comp = connected_components(links).withColumnRenamed("id", "fp")
+    named = classes.join(comp, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+    least = durable(named.groupBy("c").agg(F.min("rep").alias("component_id")), "least")
+    root = named.join(least, "c").select("fp", "component_id")
     # copies of one text may be a third of all rows: AQE splits that side of the join
     return fps.join(root, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
