@@ -31,7 +31,7 @@ SENTENCES: dict[str, list[str]] = {
     "GPLFree2": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
     "LGPLRef": ["licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2.1"],
     "AGPLRef": ["licensed under the gnu affero general public license version 3"],
-    "MPLRef": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0"],
+    "MPLRef": ["this source code form is subject to the terms of the mozilla public license v", "licensed under the mozilla public license version 2.0"],
     "BSDRedist": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "BSDSource": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "BSDBinary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
@@ -69,8 +69,8 @@ RULES: list[tuple[str, str]] = [
     ("proprietary", ";AllRights"),
 ]
 
-#: A sentence ends at a line end, or at . ! or ? before a blank or the end. A version number does not end one.
-_CUT = r"[\n\r]+|[!?]+(?=[\x20\t]|$)|\.(?=[\x20\t]|$)"
+#: A sentence ends at a line end, or at . ! or ? before white space or the end. A version number does not end one.
+_CUT = r"[\n\r]+|[!?]+(?=[\x20\t\n\r]|$)|\.(?=[\x20\t\n\r]|$)"
 #: Every known sentence holds one of these, so a text without them holds none.
 _HINT = "licen|permission|copyright|redistribution|free software|warrant|public domain|all rights reserved|released under cc0|under the license"
 
@@ -121,7 +121,7 @@ def sql(table: str = "documents") -> str:
     count = lambda i: f"len(regexp_extract_all(l{i}, ';[A-Z]'))"
     picks = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS license, {count(i)} - {count(i + 1)} AS n_sentences, {i} AS rule_no, ids FROM {prev}" for i, (name, _) in enumerate(RULES))
     return f"""WITH known(s, k) AS (VALUES {values}),
-cut AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS s FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([!?]+|[.])([ \\t]|$)', chr(10), 'g'), '[\\n\\r]+') AS a FROM {table})),
+cut AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS s FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([!?]+|[.])([ \\t\\n\\r]|$)', chr(10), 'g'), '[\\n\\r]+') AS a FROM {table})),
 norm AS (SELECT doc_id, i, trim(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g')) AS s FROM cut WHERE length(s) BETWEEN 8 AND 1000),
 ids AS (SELECT doc_id, string_agg(k, ';' ORDER BY i) AS ids FROM norm JOIN known USING (s) GROUP BY doc_id),
 start AS (SELECT doc_id, ids, ';' || ids || ';' AS l0 FROM ids),
