@@ -3,7 +3,7 @@
 The model is counted by Spark over every whole text: characters fall into 63 classes (letters with their accents, digits,
 blanks, marks, one class for the rest), 0 is the padding, and an n-gram of up to four of them is a packed 24-bit key. A
 language's table therefore has at most 64^4 keys whatever the corpus, which bounds what is broadcast; counts are
-summed in each task before the shuffle. The model of a language is a set of sorted key arrays, one per order, with
+summed in each task before the shuffle. Scores leave the document out: an n-gram that no other text has backs off. The model of a language is a set of sorted key arrays, one per order, with
 log probabilities and back-off weights, searched by bisection. A document's score is its mean negative log2
 probability per character; a language's band reaches from the lower to the upper outer fence of its documents' scores.
 """
@@ -105,6 +105,7 @@ class Model:
         for n in range(ORDER - 1, 0, -1):  # continuation counts: how many different characters come before
             tails, c = np.unique(level[0][0] & np.uint32((1 << (BITS * n)) - 1), return_counts=True)
             level.insert(0, (tails, c.astype(np.float64)))
+        self.counts = [np.minimum(c, (1 << 32) - 1).astype(np.uint32) for _, c in level]
         self.keys, self.logp, self.ctx, self.logb = [], [], [], []
         lower = None
         for n, (k, c) in enumerate(level, 1):
@@ -122,13 +123,19 @@ class Model:
             self.ctx.append(ctx)
             self.logb.append(np.log2(spare).astype(np.float32))
 
-    def score(self, key: np.ndarray) -> np.ndarray:
-        """log2 probability of the last character of each ORDER-gram; unseen ones back off."""
+    def score(self, key: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """log2 probability of the last character of each ORDER-gram; unseen ones, back off.
+
+        With ``own``, how often a document holds each of its distinct keys, n-grams that only this document has back off too;
+        at the lower orders those are the ones whose every continuation is the document's alone.
+        """
         out = np.zeros(len(key), np.float32)
         open_, k, back = np.arange(len(key)), key, np.zeros(len(key), np.float32)
         for n in range(ORDER, 0, -1):
             at = np.minimum(np.searchsorted(self.keys[n - 1], k), len(self.keys[n - 1]) - 1)
             hit = self.keys[n - 1][at] == k
+            if own is not None:
+                hit &= self.counts[n - 1][at] > own
             out[open_[hit]] = back[hit] + self.logp[n - 1][at[hit]]
             if hit.all():
                 return out
@@ -137,12 +144,15 @@ class Model:
             at = np.minimum(np.searchsorted(self.ctx[n - 1], c), len(self.ctx[n - 1]) - 1)
             back = back + np.where(self.ctx[n - 1][at] == c, self.logb[n - 1][at], 0)
             k = k & np.uint32((1 << (BITS * (n - 1))) - 1)
+            if own is not None:
+                _, at, own = np.unique(k, return_inverse=True, return_counts=True)
+                own = own[at]
         out[open_] = back - np.float32(BITS)
         return out
 
     def dump(self) -> bytes:
         sink = pa.BufferOutputStream()
-        cols = {f"{what}{n}": pa.array([getattr(self, what)[n]]) for what in ("keys", "logp", "ctx", "logb") for n in range(ORDER)}
+        cols = {f"{what}{n}": pa.array([getattr(self, what)[n]]) for what in ("keys", "counts", "logp", "ctx", "logb") for n in range(ORDER)}
         t = pa.table(cols)
         with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(t)
@@ -152,7 +162,7 @@ class Model:
     def load(cls, data: bytes) -> Model:
         t = pa.ipc.open_stream(data).read_all()
         m = cls.__new__(cls)
-        for what in ("keys", "logp", "ctx", "logb"):
+        for what in ("keys", "counts", "logp", "ctx", "logb"):
             setattr(m, what, [t[f"{what}{n}"].chunk(0).values.to_numpy() for n in range(ORDER)])
         return m
 
@@ -258,11 +268,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 if s:
                     if lang not in loaded:
                         loaded[lang] = Model.load(models.value[lang])
-                    g = grams(classes_of(s))
-                    total = 0.0
-                    for i in range(0, len(g), 1 << 20):
-                        total += float(loaded[lang].score(g[i : i + (1 << 20)]).sum(dtype=np.float64))
-                    score = -total / len(g)
+                    keys, n = np.unique(grams(classes_of(s)), return_counts=True)
+                    score = -float((loaded[lang].score(keys, n) * n).sum()) / len(s)
                 rows.append((*base_stats(s, cache), len(s), score))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64())], ["doc_id", "lang", *NAMES, "n_chars", "score"])
