@@ -96,15 +96,17 @@ def reply_paths(messages: DataFrame, tree: str = "conv_id", message: str = "msg"
     # a message continues its parent's run if it is the only reply
     only = kids.where("_k = 1").select("_t", F.col("_m").alias("_p"), F.lit(True).alias("_only"))
     runs = durable(links.join(only, ["_t", "_p"], "left").select("_t", "_m", "_p", "_k", F.col("_s"), F.expr("if(_only, _p, _m)").alias("_head"), F.expr("if(_only, 1L, 0L)").alias("_hops")), "runs")
-    # pointer jumping: _head is _hops messages up; after k rounds runs of 2^k are done
-    for _ in range(64):
-        up = runs.select("_t", F.col("_m").alias("_head"), F.col("_head").alias("_far"), F.col("_hops").alias("_more"))
-        nxt = runs.join(up, ["_t", "_head"], "left").select("_t", "_m", "_p", "_k", "_s", F.coalesce("_far", "_head").alias("_head"), (F.col("_hops") + F.coalesce("_more", F.lit(0))).alias("_hops"), (F.coalesce("_more", F.lit(0)) > 0).alias("_moved"))
-        nxt = durable(nxt, "jump")
-        moved = nxt.where("_moved").limit(1).count()
-        runs = nxt.drop("_moved")
-        if not moved:
+    # pointer jumping: an open message knows one _hops above it; each round doubles that, and only open messages take part
+    settled, open_ = runs.where("_hops = 0"), runs.where("_hops > 0")
+    for _ in range(m.count().bit_length() + 1):  # what is open after that hangs on a cycle
+        if not open_.limit(1).count():
             break
+        far = settled.withColumn("_end", F.lit(True)).unionByName(open_.withColumn("_end", F.lit(False)))
+        far = far.select("_t", F.col("_m").alias("_head"), F.col("_head").alias("_far"), F.col("_hops").alias("_more"), "_end")
+        step = durable(open_.join(far, ["_t", "_head"]).select("_t", "_m", "_p", "_k", "_s", F.col("_far").alias("_head"), (F.col("_hops") + F.col("_more")).alias("_hops"), "_end"), "jump")
+        settled = settled.unionByName(step.where("_end").drop("_end"))
+        open_ = step.where("not _end").drop("_end")
+    runs = settled
     segs = runs.groupBy("_t", "_head").agg(F.sum("_s").alias("_w"), F.max_by("_m", "_hops").alias("_tail"), F.max_by("_k", "_hops").alias("_k"))
     up = runs.where("_m = _head").select("_t", "_head", "_p")
     tails = segs.select("_t", F.col("_tail").alias("_p"), F.col("_head").alias("_over"))
