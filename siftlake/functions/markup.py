@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _DROP = "(?is)<(script|style|head|nav|footer)(\\s[^>]*)?>.*?</(script|style|head|nav|footer)>"
 _ENTITIES = (("&quot;", '"'), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -88,7 +89,7 @@ def layout_text(raw: bytes | str | None) -> str | None:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def layout_text_udf(pages: pd.Series) -> pd.Series:
     return pages.map(layout_text)
 

@@ -13,7 +13,7 @@ def words(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text. One closing line feed ends the last line and does not begin another."""
-    return F.split(F.regexp_replace(text, "\\n$", ""), "\\n")
+    return F.split(F.regexp_replace(text, "\\n\\z", ""), "\\n")
 
 
 def word_ngrams(words_col: Column, n: int) -> Column:
