@@ -57,9 +57,9 @@ def word_substrings(docs: DataFrame, span: int = 50, id_col: str = "doc_id", tex
     rows = R.prepared(docs, id_col, text_col)
     sk = R.sketch(rows, _units, _whole, span, base)
     all_ = durable(R.distinct_documents(sk), "documents")
-    cand = R.repeated_anchors(sk, all_, within=False)
-    found = durable(rows.join(cand, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th").mapInArrow(_second_level(span, base), _FOUND), "windows")
+    cand = durable(R.repeated_anchors(sk, all_, within=False), "candidates")
     release(sk)
+    found = durable(rows.join(cand, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th").mapInArrow(_second_level(span, base), _FOUND), "windows")
     wide = found.where("h1 is not null")
     least = wide.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = durable(least, "least")  # see repeated_anchors: lets AQE split the join

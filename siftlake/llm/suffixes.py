@@ -40,17 +40,17 @@ def _whole(text: bytes) -> tuple[int, str]:
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``t`` (values over 0) sorted by their first ``depth`` values at least; equal ones by position. By doubling."""
+    """Suffixes of ``t`` (values over 0) sorted by their first ``depth`` values at least, equal ones in any order. By doubling."""
     n = len(t)
     rank = np.zeros(n + 8, np.int64)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = t
     key = np.zeros(n, np.uint64)
-    for i in range(6):  # 9 bits a value
+    for i in range(7):  # 9 bits a value
         key = (key << np.uint64(9)) | padded[i : n + i]
-    width = 6
+    width = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         new = np.r_[False, s[1:] != s[:-1]]
         rank = np.empty(n, np.int64)
@@ -249,9 +249,9 @@ def byte_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_
     rows = R.prepared(docs, id_col, text_col)
     sk = R.sketch(rows, _units, _whole, span, min(BASE, span))
     all_ = durable(R.distinct_documents(sk), "documents")
-    cand = R.repeated_anchors(sk, all_, within=True)
-    found = durable(rows.join(cand, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th").mapInArrow(_contexts(span, min(BASE, span), GROUP), _FOUND), "contexts")
+    cand = durable(R.repeated_anchors(sk, all_, within=True), "candidates")
     release(sk)
+    found = durable(rows.join(cand, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th").mapInArrow(_contexts(span, min(BASE, span), GROUP), _FOUND), "contexts")
     dealt = found.where("key is not null").repartition("key").sortWithinPartitions("key", "doc_id", "th", "at")
     ranges = dealt.mapInArrow(_buckets(span), "doc_id bigint, th bigint, at bigint, upto bigint").unionByName(found.where("key is null").select("doc_id", "th", "at", "upto"))
     ranges = durable(ranges, "ranges")
