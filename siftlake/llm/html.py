@@ -34,10 +34,15 @@ NAMES = frozenset(
     "sidebar sidenav sidemenu menu menus nav navbar navigation navi topnav subnav breadcrumb breadcrumbs crumbs pager pagination paging "
     "footer foot sitefooter header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login signin "
     "related recommended recommendations trending popular share sharing social sharebar follow comment comments commentlist disqus discussion replies respond reply "
-    "popup modal overlay widget widgets search searchbox tags taglist legal disclaimer copyright skip hidden outbrain taboola teaser poll survey form".split()
+    "popup modal overlay widget widgets search searchbox tags taglist legal disclaimer copyright skip outbrain taboola teaser poll survey form".split()
 )
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+COMMENT_NAMES = frozenset("comment comments commentlist disqus discussion replies respond reply ad ads advert sidebar newsletter related share social notice notices".split())
 CONTENT_NAMES = frozenset("article main content post story entry body text articlebody".split())
+#: With one of these, "header" is the heading of the text and not of the site.
+TEXT_NAMES = frozenset("article post entry story".split())
+#: ``has-sidebar``, ``no-ads``: such a class speaks of the page around, and wrappers hold more than they are named after.
+_AROUND = re.compile(r"^(has|with|without|no|is|not)[-_]|(wrap|wrapper|container|layout|grid|row|columns?)$", re.I)
 SPACE = re.compile(r"\s+")
 _P_CLOSERS = BLOCK - {"html", "body", "head", "td", "th", "tr"}
 
@@ -53,8 +58,11 @@ def _kind(tag: str, attrs: str, in_article: bool) -> int:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                names.update(x.lower() for x in _NAME.findall(value))
-                names.update(value.lower().split())
+                for token in value.split():
+                    if token.lower() == "hidden":
+                        return 1
+                    if not _AROUND.search(token):
+                        names.update(x.lower() for x in _NAME.findall(token))
             elif key == "role":
                 role = value.strip().lower()
             elif key == "itemprop":
@@ -69,7 +77,10 @@ def _kind(tag: str, attrs: str, in_article: bool) -> int:
         return 0
     if tag in FURNITURE or role in ROLES:
         return 1
-    if names & NAMES and not (in_article and names & CONTENT_NAMES):
+    found = names & NAMES
+    if found == {"header"} and names & TEXT_NAMES:
+        return 0
+    if found and not (in_article and names & CONTENT_NAMES and not found & COMMENT_NAMES):
         return 1
     return 0
 

@@ -14,6 +14,8 @@ PAGES = {
     "divs": f"<body><div class='site-header'>Our great site about things</div><div id=content>{BODY}</div><div class='sidebar'><p>{WORDS}</p></div></body>",
     "notice": f"<body><div class='cookie-notice'>{WORDS}</div><main>{BODY}</main><section id='comments'><p>{WORDS} I agree</p></section></body>",
     "inside": f"<body><article><h1>A title</h1><div class='ad'>buy {WORDS}</div><p>{WORDS}</p><form><label>mail</label><button>go</button></form><script>var x='<p>no</p>';</script><p>Second &amp; last: caf&eacute; {WORDS}.</p><aside>{WORDS}</aside></article></body>",
+    "wrappers": f"<body class='no-sidebar'><div class='content-sidebar-wrap has-sidebar overflow-hidden'><div class='post-header'><h1>A title</h1></div><div class='entry-content'><p>{WORDS}</p><p>Second &amp; last: caf&eacute; {WORDS}.</p></div><div class='comment-body'><p>{WORDS}</p></div><div id='adBox'>{WORDS}</div></div></body>",
+    "comments": f"<body><article><header><h1>A title</h1></header><p>{WORDS}</p><p>Second &amp; last: caf&eacute; {WORDS}.</p><section class='reader-comments'><h2>Comments</h2><article class='comment'><p>{WORDS}</p></article></section><p class='newsletter-signup'>Get {WORDS}</p></article></body>",
     "unclosed": f"<body>{FURNITURE}<article><h1>A title</h1><p><b>{WORDS}<br><p>Second &amp; last: caf&eacute; {WORDS}.</article><footer>x</footer>",
     "spaces": f"<body>{FURNITURE}<article><h1>\n A\ttitle </h1><p>{WORDS.replace(' ', chr(10))}</p><p>Second &amp; last: caf&#233; {WORDS}.</p></article></body>",
 }
