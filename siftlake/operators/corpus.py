@@ -17,17 +17,23 @@ def sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 
 def chunked(df: DataFrame, size: int, order: str, spread: int = 256) -> DataFrame:
-    """``df`` with ``pos`` (from 0, in ``order``) and ``chunk`` = pos // size.
+    """``df`` with ``pos`` (from 0, in ``order``, a numeric unique key) and ``chunk`` = pos // size.
 
-    Positions come from counts per hash-free range: rows are ranged by their order key, numbered inside a range and moved
-    by the counts before it. Only ``spread`` counts meet in one task. Keys must be unique.
+    Rows fall into at most ``spread`` ranges of the key, are numbered inside a range and moved by the counts of the ranges
+    before it, so no task sorts more than a range. Only cuts and counts, ``spread`` numbers each, come to the driver.
     """
-    cuts = df.select(F.percentile_approx(order, [i / spread for i in range(1, spread)], 10_000).alias("c"))
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("_r", F.size(F.filter("c", lambda x: x < F.col(order)))).drop("c")  # one row
-    before = ranged.groupBy("_r").agg(F.count("*").alias("_n")).select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))
-    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_r").orderBy(order)))
-    out = numbered.join(F.broadcast(before), "_r").withColumn("pos", (F.col("_before") + F.col("_i") - 1).cast("long"))  # at most ``spread`` rows
-    return out.drop("_r", "_i", "_before").withColumn("chunk", F.floor(F.col("pos") / size).cast("long"))
+    cuts = df.select(F.percentile_approx(order, [i / spread for i in range(1, spread)], 10_000).alias("c")).first()["c"] or []
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    ranged = df.withColumn("_r", F.size(F.filter(edges, lambda x: x < F.col(order))))
+    counts = {r["_r"]: r["n"] for r in ranged.groupBy("_r").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for r in range(len(cuts) + 1):
+        before.append(total)
+        total += counts.get(r, 0)
+    i = F.row_number().over(Window.partitionBy("_r").orderBy(order))
+    pos = (F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("_r")) + i - 1).cast("long")
+    out = ranged.withColumn("pos", pos).drop("_r")
+    return out.withColumn("chunk", F.floor(F.col("pos") / size).cast("long"))
 
 
 def training_windows(tokens: DataFrame, ctx: int, stride: int, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -32,8 +32,9 @@ def exact_line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     gone = own.join(repeated, "_h", "left_semi").groupBy("_k").agg(F.collect_list("_i").alias("_gone"))
     both = docs.join(gone, F.col(key) == F.col("_k"), "left")
     ends = F.col(text).endswith("\n")
-    kept = F.transform(F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size(F.col("_ls")) - 1).alias("i"), F.col("_ls").alias("x")), lambda p: ~F.array_contains("_gone", p["i"])), lambda p: p["x"])
-    cut = both.where("_gone is not null").withColumn("_ls", lines(F.col(text))).select(key, F.explode_outer(F.array(kept)).alias("_kept"), ends.alias("_nl"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), "_gone")  # hashed, in order
+    kept = F.transform(left, lambda i: F.get(F.col("_ls"), i))
+    cut = held(both.where("_gone is not null"), "_ls", lines(F.col(text))).select(key, F.explode_outer(F.array(kept)).alias("_kept"), ends.alias("_nl"))
     cut = cut.select(key, F.when(F.size("_kept") == 0, "").otherwise(F.concat(F.array_join("_kept", "\n"), F.when(F.col("_nl"), "\n").otherwise(""))).alias(text))
     return cut.unionByName(both.where("_gone is null").select(key, text))
 
