@@ -82,14 +82,40 @@ def near_duplicate_pairs(docs: DataFrame, p: MinHash = MinHash(), key: str = "do
     Documents of one shingle set are one class: its smallest key stands for it in the join, so a large group of copies adds
     one row. ``near_duplicate_clusters`` adds the members.
     """
+    reps, bands = _banded(docs, p, key, text)
+    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x._k") < F.col("y._k"))).select(F.col("x._k").alias("a"), F.col("y._k").alias("b")).distinct()
+    return _verified(pairs, reps, p)
+
+
+def near_duplicate_links(docs: DataFrame, p: MinHash = MinHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Verified pairs that connect what ``near_duplicate_pairs`` connects, without spelling out crowded buckets.
+
+    A bucket is first compared with its smallest member only. Members near it are connected already, so of the other
+    pairs just those with a member that is not near it are left to compare.
+    """
+    reps, bands = _banded(docs, p, key, text)
+    bands = durable(bands, "bands")
+    heads = durable(bands.groupBy("band").agg(F.min("_k").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "heads")
+    star = durable(bands.join(heads, "band").where("_k <> a").select("band", "a", F.col("_k").alias("b")), "star")
+    near = durable(_verified(star.select("a", "b").distinct(), reps, p), "near")
+    rest = star.join(near, ["a", "b"], "left_anti").select("band", F.col("b").alias("x"))
+    pairs = rest.join(bands, "band").where("x <> _k").select(F.least("x", "_k").alias("a"), F.greatest("x", "_k").alias("b")).distinct()
+    return near.unionByName(_verified(pairs, reps, p))
+
+
+def _banded(docs: DataFrame, p: MinHash, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     reps = _classes(docs, p, key, text).groupBy("_c").agg(F.min("_k").alias("_k"), F.any_value("sh").alias("sh"))
     reps = durable(reps.select("_k", "sh"), "reps")
-    bands = band_keys(signatures(reps, p.num_hashes), p)
-    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x._k") < F.col("y._k"))).select(F.col("x._k").alias("a"), F.col("y._k").alias("b")).distinct()
+    return reps, band_keys(signatures(reps, p.num_hashes), p)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame:
+    """Pairs with their exact Jaccard value, at or above the threshold."""
     left = reps.select(F.col("_k").alias("a"), F.col("sh").alias("sa"))
     right = reps.select(F.col("_k").alias("b"), F.col("sh").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    j = pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
+    sets = pairs.join(left, "a").join(right, "b")
+    counted = held(sets, "_both", F.size(F.array_intersect("sa", "sb")))
+    j = counted.select("a", "b", (F.col("_both") / (F.size("sa") + F.size("sb") - F.col("_both"))).alias("jaccard"))
     return j.where(F.col("jaccard") >= p.jaccard_threshold)
 
 
@@ -102,7 +128,7 @@ def near_duplicate_clusters(docs: DataFrame, p: MinHash = MinHash(), key: str =
     """``(key, cluster)`` for every document; ``cluster`` is the smallest key that can be reached over verified pairs and copies."""
     member = _classes(docs, p, key, text).select("_k", "_c")
     rep = member.groupBy("_c").agg(F.min("_k").alias("_r"))
-    comp = connected_components(near_duplicate_pairs(docs, p, key, text))
+    comp = connected_components(near_duplicate_links(docs, p, key, text))
     of = member.join(rep, "_c").join(comp, F.col("_r") == F.col("id"), "left").select("_k", F.coalesce("component", "_r").alias("cluster"))
     bare = docs.join(of, F.col(key) == F.col("_k"), "left")
     return bare.select(key, F.coalesce("cluster", key).alias("cluster"))
