@@ -31,12 +31,12 @@ def exact_line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     # what is dropped is smaller than what stays in a clean corpus, and the hot lines are few keys
     gone = own.join(repeated, "_h", "left_semi").groupBy("_k").agg(F.collect_list("_i").alias("_gone"))
     both = docs.join(gone, F.col(key) == F.col("_k"), "left")
-    ends = F.col(text).endswith("\n")
+    hit = F.col("_gone").isNotNull()
+    split = held(both, "_ls", F.when(hit, lines(F.col(text))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), "_gone")  # hashed, in order
-    kept = F.transform(left, lambda i: F.get(F.col("_ls"), i))
-    cut = held(both.where("_gone is not null"), "_ls", lines(F.col(text))).select(key, F.explode_outer(F.array(kept)).alias("_kept"), ends.alias("_nl"))
-    cut = cut.select(key, F.when(F.size("_kept") == 0, "").otherwise(F.concat(F.array_join("_kept", "\n"), F.when(F.col("_nl"), "\n").otherwise(""))).alias(text))
-    return cut.unionByName(both.where("_gone is null").select(key, text))
+    cut = held(split, "_kept", F.when(hit, F.transform(left, lambda i: F.get(F.col("_ls"), i))))
+    rebuilt = F.when(F.size("_kept") == 0, "").otherwise(F.concat(F.array_join("_kept", "\n"), F.when(F.col(text).endswith("\n"), "\n").otherwise("")))
+    return cut.select(key, F.when(hit, rebuilt).otherwise(F.col(text)).alias(text))
 
 
 def exact_document_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
