@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import chat, decontaminate, html, licenses, packing, quality, sharding, simhash, substrings, suffixes
+from siftlake.llm import chat, decontaminate, html, licenses, oracle, packing, quality, sharding, simhash, substrings, suffixes
 from siftlake.session import table
 
 
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.sql(), "op8_decontamination": decontaminate.sql()}
+    return dict(oracle.SQL)
