@@ -3,16 +3,43 @@
 from __future__ import annotations
 
 import atexit
+import io
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a context, by way of the shared folder.
+
+    Functions of this package travel to the workers by name, so these must be able to import it wherever they run.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_siftlake_shipped", False):
+        return
+    root = pathlib.Path(__file__).parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = f"{shared_dir(spark)}/siftlake/package-{uuid.uuid4().hex}/siftlake_package.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(data.getvalue())
+    out.close()
+    sc.addPyFile(path)
+    _OWN.append((spark, path))
+    sc._siftlake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. The path may belong to any store that Spark can read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
