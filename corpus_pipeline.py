@@ -6,25 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import decontaminate, packing, quality, simhash, suffixes
-from siftlake.session import durable, table
+from siftlake.session import durable, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the perplexity bands keep. Rows of one id go or stay together."""
+    ship(spark)
     bad = quality.quality(docs).where("not kept").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group."""
+    ship(spark)
     others = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 100 bytes or more that an earlier document, or the same before, has too."""
+    ship(spark)
     cut = suffixes.byte_repeats(docs, 100, keep_text=True).where("n_removed > 0").select("doc_id", "th", "kept")
     joined = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).join(cut, ["doc_id", "th"], "left")
     text = F.coalesce("kept", "text")
@@ -33,12 +36,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
+    ship(spark)
     bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens, related documents together."""
+    ship(spark)
     return packing.pack_related(docs).drop("ids")
 
 
