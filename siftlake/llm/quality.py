@@ -1,9 +1,10 @@
 """Quality rules: word and line statistics, and perplexity bands of a modified Kneser-Ney character model.
 
-The model is counted by Spark over every whole text: characters fall into 63 classes (letters with their accents, digits,
-blanks, marks, one class for the rest), 0 is the padding, and an n-gram of up to four of them is a packed 24-bit key. A
-language's table therefore has at most 64^4 keys whatever the corpus, which bounds what is broadcast; counts are
-summed in each task before the shuffle. Scores leave the document out: an n-gram that no other text has backs off. The model of a language is a set of sorted key arrays, one per order, with
+The model is counted by Spark over every whole text: a character is a 16-bit symbol, 0 is the padding, and an n-gram of up
+to four of them is a packed 64-bit key. Symbols 1 to 63 are the letters of French, German, Spanish and English, digits,
+blanks and ASCII marks; every other character from U+00C0 on is its own lower-cased code point (those above U+FFFF are hashed
+to the surrogate and private areas). A table grows with the different n-grams of its language; counts are summed in each task before
+the shuffle. Scores leave the document out: an n-gram that no other text has backs off. The model of a language is a set of sorted key arrays, one per order, with
 log probabilities and back-off weights, searched by bisection. A document's score is its mean negative log2
 probability per character; a language's band reaches from the lower to the upper outer fence of its documents' scores.
 """
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from siftlake.session import durable
 
 ORDER, BITS = 4, 6
-_MASK = (1 << BITS) - 1
+#: A symbol's bits above the lowest ``BITS``: those of an n-gram lie above ``LOW`` in its key, so keys of classes are 24-bit keys.
+HIGH, LOW = 16 - BITS, ORDER * BITS
 SYMBOLS = b"#*$%&|<>"
 #: Languages with models of their own; all other values of ``lang`` share one, which bounds the number of models.
 LANGUAGES = "af ar az be bg bn bs ca cs cy da de el en eo es et eu fa fi fr ga gl he hi hr hu hy id is it ja ka kk ko lt lv mk ms mt nb nl no pl pt ro ru sk sl sq sr sv sw ta te th tr uk ur uz vi zh".split()
@@ -30,15 +32,20 @@ OTHER = "other"
 
 
 def _classes() -> np.ndarray:
-    table = np.full(0x250, 63, np.uint32)
+    table = np.full(0x10000, 63, np.uint32)
     kinds = ["aA", "bB", "cC", "dD", "eE", "fF", "gG", "hH", "iI", "jJ", "kK", "lL", "mM", "nN", "oO", "pP", "qQ", "rR", "sS", "tT", "uU", "vV", "wW", "xX", "yY", "zZ"]
     kinds += ["àÀ", "âÂ", "äÄ", "áÁ", "ãÃåÅ", "æÆ", "çÇ", "éÉ", "èÈ", "êÊ", "ëË", "îÎïÏ", "íÍìÌ", "ñÑ", "ôÔõÕ", "öÖøØ", "óÓòÒ", "œŒ", "ùÙûÛ", "üÜ", "úÚ", "ß"]
     kinds += [" \t\r\x0b\x0c\xa0", "\n", "0123456789", ".", ",", ";:", "!?", "'\"`«»", "()[]{}", "-–_/\\", "#*", "$%", "&|", "<>"]
     for i, chars in enumerate(kinds, 1):
         for c in chars:
-            if ord(c) < len(table):
-                table[ord(c)] = i
+            table[ord(c)] = i
     assert len(kinds) < 63
+    listed = {ord(c) for chars in kinds for c in chars}
+    for cp in range(0xC0, len(table)):
+        if cp not in listed:
+            low = chr(cp).lower()
+            to = ord(low) if len(low) == 1 else cp
+            table[cp] = table[to] if to in listed else to
     return table
 
 
@@ -46,21 +53,41 @@ _CLASS = _classes()
 
 
 def classes_of(text: str) -> np.ndarray:
-    """The class of every character, with ``ORDER - 1`` paddings in front."""
+    """The symbol of every character, with ``ORDER - 1`` paddings in front."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(cp) and cp.max() > 0xFFFF:
+        cp = np.where(cp > 0xFFFF, 0xD800 + (cp * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(0xF900 - 0xD800), cp)
     out = np.zeros(len(cp) + ORDER - 1, np.uint32)
-    out[ORDER - 1 :] = _CLASS[np.minimum(cp, len(_CLASS) - 1)]
+    out[ORDER - 1 :] = _CLASS[cp]
     return out
 
 
 def grams(s: np.ndarray) -> np.ndarray:
     """Packed keys of all ORDER-grams of a padded text: one per character."""
-    key = s[: len(s) - ORDER + 1].copy()
+    low, high = s & np.uint32((1 << BITS) - 1), s >> np.uint32(BITS)
+    n = len(s) - ORDER + 1
+    key = low[:n].copy()
     for i in range(1, ORDER):
-        key = (key << np.uint32(BITS)) | s[i : len(s) - ORDER + 1 + i]
+        key = (key << np.uint32(BITS)) | low[i : n + i]
+    key = key.astype(np.uint64)
+    if high.any():
+        top = high[:n].astype(np.uint64)
+        for i in range(1, ORDER):
+            top = (top << np.uint64(HIGH)) | high[i : n + i]
+        key |= top << np.uint64(LOW)
     return key
 
 
+def context(key: np.ndarray) -> np.ndarray:
+    """The keys without their last symbol."""
+    return (key >> np.uint64(LOW + HIGH) << np.uint64(LOW)) | ((key & np.uint64((1 << LOW) - 1)) >> np.uint64(BITS))
+
+
+def tail(key: np.ndarray, n: int) -> np.ndarray:
+    """The keys of ``n`` symbols without their first one."""
+    return key & np.uint64(((1 << HIGH * (n - 1)) - 1) << LOW | ((1 << BITS * (n - 1)) - 1))
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """``(lang, key, n)`` over all documents; a task sums its counts before they are shuffled. ``docs``: (lang, text)."""
 
@@ -78,6 +105,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 keys, n = both, np.bincount(at, np.concatenate([m, n])).astype(np.int64)
             sums[lang] = keys, n
 
+        def flush(lang: str) -> Iterator[pa.RecordBatch]:
+            keys, n = sums.pop(lang)
+            for i in range(0, len(keys), 1 << 16):
+                k = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["lang", "key", "n"])
+
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
                 s = text.as_py()
@@ -86,14 +119,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     size[lang] = size.get(lang, 0) + len(g)
                     if size[lang] > 1 << 22:
                         merge(lang)
+                        if len(sums[lang][0]) > 1 << 22:  # bounded memory; the shuffle sums the parts
+                            yield from flush(lang)
         for lang in list(held):
             merge(lang)
-        for lang, (keys, n) in sums.items():
-            for i in range(0, len(keys), 1 << 16):
-                k = keys[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[i : i + (1 << 16)])], ["lang", "key", "n"])
+        for lang in list(sums):
+            yield from flush(lang)
 
-    return docs.mapInArrow(work, "lang string, key int, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(work, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -101,22 +134,23 @@ class Model:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         at = np.argsort(keys)
-        level = [(keys[at].astype(np.uint32), counts[at].astype(np.float64))]
+        level = [(keys[at].astype(np.uint64), counts[at].astype(np.float64))]
         for n in range(ORDER - 1, 0, -1):  # continuation counts: how many different characters come before
-            tails, c = np.unique(level[0][0] & np.uint32((1 << (BITS * n)) - 1), return_counts=True)
+            tails, c = np.unique(tail(level[0][0], n + 1), return_counts=True)
             level.insert(0, (tails, c.astype(np.float64)))
         self.counts = [np.minimum(c, (1 << 32) - 1).astype(np.uint32) for _, c in level]
         self.keys, self.logp, self.ctx, self.logb = [], [], [], []
+        self.symbols = max(1 << BITS, len(level[0][0]) + 1)  # the uniform distribution at the end is over the symbols seen, and one for the rest
         lower = None
         for n, (k, c) in enumerate(level, 1):
             of = [float((c == i).sum()) for i in (1, 2, 3, 4)]
             y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.0
             cut = np.array([0.0] + [min(max((i + 1) - (i + 2) * y * of[i + 1] / of[i], 0.05), i + 0.95) if of[i] else 0.5 for i in range(3)])
             d = cut[np.minimum(c, 3).astype(int)]
-            ctx, at = np.unique(k >> np.uint32(BITS), return_inverse=True)
+            ctx, at = np.unique(context(k), return_inverse=True)
             total = np.bincount(at, c)
             spare = np.bincount(at, d) / total
-            below = np.full(len(k), 1.0 / 64) if lower is None else lower[np.searchsorted(level[n - 2][0], k & np.uint32((1 << (BITS * (n - 1))) - 1))]
+            below = np.full(len(k), 1.0 / self.symbols) if lower is None else lower[np.searchsorted(level[n - 2][0], tail(k, n))]
             lower = (c - d) / total[at] + spare[at] * below
             self.keys.append(k)
             self.logp.append(np.log2(lower).astype(np.float32))
@@ -140,19 +174,20 @@ class Model:
             if hit.all():
                 return out
             open_, k, back = open_[~hit], k[~hit], back[~hit]
-            c = k >> np.uint32(BITS)
+            c = context(k)
             at = np.minimum(np.searchsorted(self.ctx[n - 1], c), len(self.ctx[n - 1]) - 1)
             back = back + np.where(self.ctx[n - 1][at] == c, self.logb[n - 1][at], 0)
-            k = k & np.uint32((1 << (BITS * (n - 1))) - 1)
+            k = tail(k, n)
             if own is not None:
                 _, at, own = np.unique(k, return_inverse=True, return_counts=True)
                 own = own[at]
-        out[open_] = back - np.float32(BITS)
+        out[open_] = back - np.float32(np.log2(self.symbols))
         return out
 
     def dump(self) -> bytes:
         sink = pa.BufferOutputStream()
         cols = {f"{what}{n}": pa.array([getattr(self, what)[n]]) for what in ("keys", "counts", "logp", "ctx", "logb") for n in range(ORDER)}
+        cols["symbols"] = pa.array([[self.symbols]])
         t = pa.table(cols)
         with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(t)
@@ -164,14 +199,15 @@ class Model:
         m = cls.__new__(cls)
         for what in ("keys", "counts", "logp", "ctx", "logb"):
             setattr(m, what, [t[f"{what}{n}"].chunk(0).values.to_numpy() for n in range(ORDER)])
+        m.symbols = t["symbols"][0].as_py()[0]
         return m
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    """One model per language from all texts of ``docs`` (lang, text). At most ``len(LANGUAGES) + 1`` models of at most 64^4 keys."""
+    """One model per language from all texts of ``docs`` (lang, text). At most ``len(LANGUAGES) + 1`` models; each is built in one task and broadcast."""
 
     def build(key: tuple[str], t: pa.Table) -> pa.Table:
-        m = Model(t["key"].to_numpy().astype(np.uint32), t["n"].to_numpy())
+        m = Model(t["key"].to_numpy().view(np.uint64), t["n"].to_numpy())
         return pa.table({"lang": pa.array([key[0].as_py()]), "model": pa.array([m.dump()], pa.binary())})
 
     rows = count_grams(docs).groupBy("lang").applyInArrow(build, "lang string, model binary").collect()

@@ -151,6 +151,23 @@ def test_perplexity_rejects_foreign_text(spark):
     assert not got.pop(900) and all(got.values())
 
 
+@pytest.mark.parametrize("lang, alphabet, least", [("ru", "абвгдежзиклмнопрстуфхцчшыэюя", 3), ("el", "αβγδεζηθικλμνξοπρστυφχψω", 3), ("pl", "ąćęłńśźżğšőțđħ", 3), ("zh", "".join(map(chr, range(0x4E00, 0x5200))), 1), ("other", "".join(map(chr, range(0x20000, 0x20100))), 1)])
+def test_perplexity_rejects_random_letters_of_any_script(spark, lang, alphabet, least):
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list(alphabet), rng.integers(least, 8)))
+    vocab = [word() for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(vocab, 120)), lang) for i in range(200)] + [(900, " ".join(word() for _ in range(120)), lang)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got.pop(900) and all(got.values())
+
+
+def test_symbols_keep_code_points():
+    of = lambda t: quality.classes_of(t)[quality.ORDER - 1 :].tolist()
+    assert len(set(of("łšğжλ漢한ह𠀀"))) == 9 and of("ŁЖΛ") == of("łжλ")
+    g = quality.grams(quality.classes_of("漢字かな"))
+    assert len(set(g.tolist())) == 4 and quality.tail(g[-1:], 4)[0] == quality.grams(np.r_[np.zeros(1, np.uint32), quality.classes_of("字かな")[3:]])[0]
+
+
 def test_sharding(docs, rows, spark):
     big = docs.unionByName(spark.range(3000).selectExpr("id + 10000 as doc_id", "if(id % 3 = 0, 'the very same text', concat('text ', id, repeat('x', cast(id % 90 as int)))) as text", "'en' as lang", "'s' as source", "1L as n_chars", "0.0D as score", "1L as h"))
     got = sharding.shard_by_bytes(big, 16, 4).collect()
