@@ -1,7 +1,8 @@
 """License scans by sentence rules: known sentences get identifiers, identifier sequences meet ordered rules.
 
-Main path: Spark SQL functions only. A text is cut at line ends and sentence ends, every sentence is normalised, and a
-constant map (its size is that of the knowledge base below) names the known ones. The identifiers of a document, in
+Main path: Spark SQL functions only. A text is normalised; its sentences end at sentence ends and blank lines, and may begin
+and end at any line end between. So a known sentence is found on a line of its own as well as wrapped over several
+lines, and a constant map (its size is that of the knowledge base below) names it. The identifiers of a document, in
 order, form one string, over which the rules are matched from the most to the least specific; what a rule has used is
 blanked, so that later, broader rules cannot use it again.
 """
@@ -69,20 +70,26 @@ RULES: list[tuple[str, str]] = [
     ("proprietary", ";AllRights"),
 ]
 
-#: A sentence ends at a line end, or at . ! or ? before white space or the end. A version number does not end one.
-_CUT = r"[\n\r]+|[!?]+(?=[\x20\t\n\r]|$)|\.(?=[\x20\t\n\r]|$)"
-#: Every known sentence holds one of these, so a text without them holds none.
-_HINT = "licen|permission|copyright|redistribution|free software|warrant|public domain|all rights reserved|released under cc0|under the license"
+#: A sentence ends at . ! or ? before white space or the end, and at a blank line. A version number does not end one.
+_CUT = r"[!?]+(?=[\x20\t\n\r]|$)|\.(?=[\x20\t\n\r]|$)"
+#: Every known sentence holds one of these, so a text without them holds none. A blank stands for what is a blank when normalised.
+_HINT = "licen|permission|redistribution|free software|warrant|public domain|all rights reserved|released under cc0|copyright|free and unencumbered"
+#: The known sentences, the longest first, from a line start to a line end; their blanks may be single line ends.
+_KNOWN = r"(?<![^\n])(?:" + "|".join(re.sub(r"\\? ", r"[ \\n]", re.escape(s)) for s in sorted((s for all_ in SENTENCES.values() for s in all_), key=lambda s: (-len(s), s))) + r")(?![^\n])"
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+]+", " "))
+def _lines(text: Column) -> Column:
+    """The normalised lines of a text; blank lines, and lines of marks only, are empty, and an empty line follows each sentence end."""
+    lower = F.regexp_replace(F.lower(text), "\r\n?", "\n")
+    words = F.regexp_replace(F.regexp_replace(lower, _CUT, "\n\n"), r"[^a-z0-9.+\n]+", " ")
+    return F.regexp_replace(words, r"^ +| +$| *\n *", "\n")
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order (an array; empty for null, empty or foreign texts)."""
     known = F.create_map(*[x for k, all_ in SENTENCES.items() for s in all_ for x in (F.lit(s), F.lit(k))])
-    return F.filter(F.transform(F.split(text, _CUT), lambda s: F.when(F.length(s).between(8, 1000) & F.lower(s).rlike(_HINT + "|apache|cc.by|cc0|gnu"), F.try_element_at(known, _normal(s)))), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(_lines(F.coalesce(text, F.lit(""))), F.lit(_KNOWN), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +98,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The whole text is read. Null and empty texts give no row; repeated rows are scanned once each; a rule that matches
     several places counts once, ``n_sentences`` being the known sentences it used. Extra columns are ignored.
     """
-    hint = F.lower(F.col(text_col)).rlike(_HINT + "|cc by|apache|mit license|gnu")
+    hint = F.lower(F.col(text_col)).rlike(_HINT.replace(" ", "[^a-z0-9.+]+"))
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(hint).select("_id", sentence_ids(F.col("_text")).alias("_ids")).where(F.size("_ids") > 0)
     left = F.concat(F.lit(";"), F.array_join("_ids", ";"), F.lit(";"))
     rows = found.select("_id", "_ids", left.alias("_left"))
@@ -130,3 +137,4 @@ SELECT doc_id, license, n_sentences, rule_no::INTEGER AS rule_no, ids AS sentenc
 
 
 assert all(re.fullmatch(r"(\(?;\w+\)?\??)+", r) for _, r in RULES)
+assert all(re.search(_HINT, s) for all_ in SENTENCES.values() for s in all_)

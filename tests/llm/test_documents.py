@@ -1,6 +1,7 @@
 """Fingerprints, quality, sharding, packing, licences and decontamination against brute force."""
 
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -226,6 +227,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
 
+def test_licenses_over_wrapped_lines(spark):
+    known = lambda k, i=0: licenses.SENTENCES[k][i]
+    wrap = lambda k, width=60, lead="", first="": textwrap.fill(known(k), width, initial_indent=first or lead, subsequent_indent=lead)
+    mit = "MIT License\n\nCopyright (c) 2020 A\n\n" + "\n\n".join(wrap(k) + "." for k in ("MITPerm", "MITNotice", "AsIsSoftware"))
+    apache = "# Licensed under the Apache License, Version 2.0 (the \"License\");\r\n# you may not use this file except in compliance with the License.\r\n# You may obtain a copy of the License at\r\n#\r\n#     http://www.apache.org/licenses/LICENSE-2.0\r\n#\r\n" + "\r\n".join(wrap(k, 70, "# ").replace("\n", "\r\n") + "." for k in ("ApacheAsIs", "ApacheLang"))
+    bsd = wrap("BSDRedist") + ":\n\n" + "\n\n".join(wrap(k, 50, "   ", f"{i}. ") + "." for i, k in enumerate(("BSDSource", "BSDBinary"), 1))
+    gpl = "/*\n" + wrap("GPLFree", 50, " * ").replace("free software", "free\n * software").capitalize() + ".\n */"
+    loose = "no full stop here\nReleased under the MIT License\nand no full stop here"
+    rows = [(1, mit), (2, apache), (3, bsd), (4, gpl), (5, loose), (6, "all rights\n\nreserved"), (7, "it is said: all rights reserved\nby them"), (8, "All rights\nreserved"), (9, "public\n\ndomain. licen")]
+    got = sorted((r["doc_id"], r["license"], r["sentence_ids"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, "MIT", "MITRef;MITPerm;MITNotice;AsIsSoftware"), (2, "Apache-2.0", "ApacheRef2;ApacheUse;ApacheCopy;ApacheAsIs;ApacheLang"), (3, "BSD-2-Clause", "BSDRedist;BSDSource;BSDBinary"), (4, "GPL-3.0-or-later", "GPLFree"), (5, "MIT", "MITRef"), (8, "proprietary", "AllRights")]
+    assert got == want
+
+
 def brute_overlaps(docs, items):
     norm = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
     out = set()
