@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontaminate, packing, quality, simhash, suffixes
+from siftlake.llm import decontaminate, packing, quality, suffixes
+from siftlake.operators import dedup
 from siftlake.session import durable, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR = dedup.MinHash(num_hashes=100, num_bands=25, ngrams=5, jaccard_threshold=0.8)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group."""
+    """The document of the smallest id of each near-duplicate group: exact Jaccard of five-word shingles at 0.8 or more, over links too.
+
+    Candidates are MinHash bands, not fingerprints: at similarity 0.8, fingerprints of 64 bits are some 10 bits apart, and
+    blocks that agree in one piece would be too short to shard by. A pair at 0.8 shares one of the 25 bands with a
+    probability above 0.999998.
+    """
     ship(spark)
-    others = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    others = dedup.near_duplicate_clusters(docs, NEAR).where("doc_id <> cluster").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
 
 

@@ -101,3 +101,24 @@ def test_nulls_copies_and_empty_tables(spark, tmp_path, docs):
 
 def test_order():
     assert [s for s, _ in P.STAGES] == ["quality", "simhash", "suffix", "decontamination", "packing"]
+
+
+def test_near_copies_go_by_jaccard_of_five_words(spark, tmp_path):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)}
+    jaccard = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    texts, copies, seen = [], set(), []
+    for k in range(40):
+        w = [rng.choice(vocab) for _ in range(300)]
+        v = list(w)
+        for i in range(1 + k % 8):  # each replaced word takes five shingles
+            v[7 + 35 * i] = "other%d" % i
+        texts += [" ".join(w), " ".join(v)]
+        seen.append(jaccard(*texts[-2:]))
+        if seen[-1] >= 0.8:
+            copies.add(2 * k + 1)
+    assert min(seen) < 0.8 and sum(0.8 <= j < 0.95 for j in seen) >= 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in dict(P.STAGES)["simhash"](spark, docs, str(tmp_path)).collect()}
+    assert got == set(range(80)) - copies
