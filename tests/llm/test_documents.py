@@ -211,6 +211,18 @@ def test_packing(docs, rows):
     assert set(by_doc) == set(want)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json"])
+def test_added_tokens_as_in_the_tokenizer(name):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    contract = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    encode = packing.encoder(name)
+    assert list(encode("hello <|endoftext|> world")) == [31373, 220, 50256, 995]
+    for text in ("<|endoftext|>", "a<|endoftext|>b", "x \n <|endoftext|><|endoftext|>\n  y", "<|endoftext", "<|ENDOFTEXT|> é漢", "no control string"):
+        assert list(encode(text)) == contract.encode(text, add_special_tokens=False).ids
+
+
 def test_walk_visits_everything_once():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 3, 50):
