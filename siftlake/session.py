@@ -9,7 +9,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[tuple[SparkSession, str]] = []
 
@@ -78,6 +79,38 @@ def durable(df: DataFrame, name: str = "part") -> DataFrame:
     return out
 
 
+def durable_counted(df: DataFrame, name: str = "part") -> tuple[DataFrame, int]:
+    """``durable`` and the number of rows, counted by the write itself: no further job."""
+    seen = Observation()
+    out = durable(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
+class Log:
+    """Rows gathered over the rounds of a loop in one shared folder: each round appends, and the plan of a reader stays one scan."""
+
+    def __init__(self, first: DataFrame, name: str = "log"):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path = f"{shared_dir(self.spark)}/siftlake/{name}-{uuid.uuid4().hex}"
+        _OWN.append((self.spark, self.path))
+        self.append(first)
+
+    def append(self, rows: DataFrame) -> int:
+        """Write ``rows`` (which may read this log as it is now) and give their number. A round has a folder of its own, so a retried write replaces it."""
+        seen = Observation()
+        self._rounds = getattr(self, "_rounds", 0)
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+        counted.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/round={self._rounds}")
+        self._rounds += 1
+        self.spark.sparkContext._jvm.System.gc()
+        return seen.get["n"]
+
+    def read(self) -> DataFrame:
+        out = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={i}" for i in range(self._rounds)])
+        out._durable_path = self.path
+        return out
+
+
 def release(df: DataFrame) -> None:
     """Delete what ``durable`` wrote, when everything that reads it has itself been written."""
     spark, path = df.sparkSession, df._durable_path
