@@ -1,8 +1,10 @@
 """Chat formatting of reply trees.
 
-Messages form trees by parent links. Runs of messages with one reply each are contracted by pointer jumping, so that
-the iterative self-join that spells out root-to-leaf paths walks over branching points only: a conversation without
-branches needs no round at all, however long it is. Every chosen path becomes one formatted conversation.
+Messages form trees by parent links. Iterative self-joins double, round by round, how far up each message sees: after k
+rounds it knows the message 2^k above it and the scores between. The last round gives every leaf the score of its path,
+by which a tree's paths are ranked; a second series of joins over the same tables spells out the chosen paths, doubling
+what is known of each. A path of n messages takes about 2 log2(n) rounds, however the tree branches. Every chosen path
+becomes one formatted conversation.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from siftlake.session import durable
+from siftlake.session import Log, durable, release
 
 #: A turn is ``### <role>: <text> </turn>\n``. A backslash, and a backslash before every control string, make texts safe.
 OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"
@@ -80,58 +82,61 @@ def _next(s: str, at: int, mark: str) -> int:
 def reply_paths(messages: DataFrame, tree: str = "conv_id", message: str = "msg", parent: str = "parent", score: str = "score", top: int | None = None) -> DataFrame:
     """Root-to-leaf paths: ``(tree, leaf, path_score, path_rank, turns)``, ``turns`` an array of the messages' structs in order.
 
-    ``messages`` has one row per message: the tree's id, a message id that is unique in the tree, the parent's message
-    id (null at a root), a score (null: 0) and anything else, which is kept in the structs. A path's score is the sum of
+    ``messages`` has one row per message: the tree's id, a message id, the parent's message id (null at a root), a score
+    (null: 0) and anything else, which is kept in the structs (columns must be orderable). A path's score is the sum of
     its messages' scores, ranked from the highest (ties: smaller leaf id); ``top`` keeps that many paths a tree (None:
-    all). A parent that does not exist makes its message a root. Repeated (tree, message) rows must not occur; a cycle
-    has no root and gives no path. A null tree id is a tree like any other. An empty table gives an empty result.
+    all). A parent that does not exist, or that is the message itself, makes its message a root. Of repeated rows of one
+    (tree, message) the least one counts. A cycle has no root: it and what hangs on it give no path. A null tree id is a tree
+    like any other; a null message id is a message that nothing can answer. An empty table gives an empty result.
+
+    Rounds: twice the binary logarithm of the longest path, branching or not; a round's plan does not grow with their number.
     """
     cols = list(messages.columns)
-    # a struct as key: a null tree id then equals itself in joins
-    m = durable(messages.select(F.struct(F.col(tree).alias("id")).alias("_t"), F.col(message).alias("_m"), F.col(parent).alias("_p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("_s"), F.struct(*cols).alias("_msg")), "messages")
-    kids = m.where("_p is not null").groupBy("_t", "_p").agg(F.count("*").alias("_k")).withColumnRenamed("_p", "_m")
-    known = m.select("_t", F.col("_m").alias("_p"), F.lit(True).alias("_there"))
-    links = m.select("_t", "_m", "_p", "_s").join(known, ["_t", "_p"], "left").select("_t", "_m", F.expr("if(_there, _p, null)").alias("_p"), "_s")
-    links = links.join(kids, ["_t", "_m"], "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
-    # a message continues its parent's run if it is the only reply
-    only = kids.where("_k = 1").select("_t", F.col("_m").alias("_p"), F.lit(True).alias("_only"))
-    runs = durable(links.join(only, ["_t", "_p"], "left").select("_t", "_m", "_p", "_k", F.col("_s"), F.expr("if(_only, _p, _m)").alias("_head"), F.expr("if(_only, 1L, 0L)").alias("_hops")), "runs")
-    # pointer jumping: an open message knows one _hops above it; each round doubles that, and only open messages take part
-    settled, open_ = runs.where("_hops = 0"), runs.where("_hops > 0")
-    for _ in range(m.count().bit_length() + 1):  # what is open after that hangs on a cycle
-        if not open_.limit(1).count():
+    # structs as keys: null ids then equal themselves in joins
+    row = F.struct(F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"), F.struct(*cols).alias("msg"))
+    keyed = messages.select(F.struct(F.col(tree).alias("id")).alias("_t"), F.struct(F.col(message).alias("id")).alias("_m"), row.alias("_r"))
+    m = durable(keyed.groupBy("_t", "_m").agg(F.min("_r").alias("_r")), "messages")
+    slim = m.select("_t", "_m", F.when(F.col("_r.p").isNotNull() & ~F.col("_r.p").eqNullSafe(F.col("_m.id")), F.struct(F.col("_r.p").alias("id"))).alias("_p"), F.col("_r.s").alias("_s"))
+    known = slim.select("_t", F.col("_m").alias("_p"), F.lit(True).alias("_there"))
+    # up: the message 2^k above (null: the path begins before), and the scores from here up to, without, that message
+    hops = [durable(slim.join(known, ["_t", "_p"], "left").select("_t", "_m", F.expr("if(_there, _p, null)").alias("_up"), "_s"), "hop")]
+    n = hops[0].count()
+    leaves = hops[0].join(hops[0].select("_t", F.col("_up").alias("_m")).where("_m is not null").distinct(), ["_t", "_m"], "left_anti").select("_t", "_m")
+    for _ in range(n.bit_length() + 1):  # what is open after that is on a cycle or hangs on one
+        now = hops[-1]
+        above = now.select("_t", F.col("_m").alias("_up"), F.col("_up").alias("_far"), F.col("_s").alias("_more"))
+        step = now.join(above, ["_t", "_up"], "left").select("_t", "_m", F.col("_far").alias("_up"), (F.col("_s") + F.coalesce("_more", F.lit(0.0))).alias("_s"))
+        seen = Observation()
+        hops.append(durable(step.observe(seen, F.count("_up").alias("open")), "hop"))
+        if not seen.get["open"]:
             break
-        far = settled.withColumn("_end", F.lit(True)).unionByName(open_.withColumn("_end", F.lit(False)))
-        far = far.select("_t", F.col("_m").alias("_head"), F.col("_head").alias("_far"), F.col("_hops").alias("_more"), "_end")
-        step = durable(open_.join(far, ["_t", "_head"]).select("_t", "_m", "_p", "_k", "_s", F.col("_far").alias("_head"), (F.col("_hops") + F.col("_more")).alias("_hops"), "_end"), "jump")
-        settled = settled.unionByName(step.where("_end").drop("_end"))
-        open_ = step.where("not _end").drop("_end")
-    runs = settled
-    segs = runs.groupBy("_t", "_head").agg(F.sum("_s").alias("_w"), F.max_by("_m", "_hops").alias("_tail"), F.max_by("_k", "_hops").alias("_k"))
-    up = runs.where("_m = _head").select("_t", "_head", "_p")
-    tails = segs.select("_t", F.col("_tail").alias("_p"), F.col("_head").alias("_over"))
-    tree_of_runs = segs.join(up, ["_t", "_head"]).join(tails, ["_t", "_p"], "left").select("_t", "_head", "_tail", "_k", "_w", "_over", "_p")
-    tree_of_runs = durable(tree_of_runs, "segments")
-    front = tree_of_runs.where("_p is null").select("_t", F.col("_head").alias("_at"), "_tail", "_k", F.col("_w").alias("_score"), F.array("_head").alias("_path"))
-    done = durable(front.where("_k = 0"), "paths")
-    front = front.where("_k > 0")
-    while front.limit(1).count():
-        step = tree_of_runs.select("_t", F.col("_over").alias("_at"), F.col("_head").alias("_nh"), F.col("_tail").alias("_nt"), F.col("_k").alias("_nk"), F.col("_w").alias("_nw"))
-        grown = front.join(step, ["_t", "_at"]).select("_t", F.col("_nh").alias("_at"), F.col("_nt").alias("_tail"), F.col("_nk").alias("_k"), (F.col("_score") + F.col("_nw")).alias("_score"), F.concat("_path", F.array("_nh")).alias("_path"))
-        grown = durable(grown, "grown")
-        done = done.unionByName(grown.where("_k = 0"))
-        front = grown.where("_k > 0")
-    ranked = done.withColumn("_rank", F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("_score"), "_tail")))
+    ends = leaves.join(hops[-1].where("_up is null"), ["_t", "_m"])
+    ranked = ends.withColumn("_rank", F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("_s"), "_m")))
     if top is not None:
         ranked = ranked.where(F.col("_rank") <= top)
-    steps = ranked.select("_t", "_tail", "_score", "_rank", F.posexplode("_path").alias("_i", "_head"))
-    full = steps.join(runs.select("_t", "_head", "_m", "_hops"), ["_t", "_head"]).join(m.select("_t", "_m", "_msg"), ["_t", "_m"])
-    out = full.groupBy("_t", "_tail", "_score", "_rank").agg(F.array_sort(F.collect_list(F.struct("_i", "_hops", "_msg"))).alias("_all"))
-    return out.select(F.col("_t.id").alias(tree), F.col("_tail").alias("leaf"), F.col("_score").alias("path_score"), F.col("_rank").alias("path_rank"), F.col("_all._msg").alias("turns"))
+    ranked = durable(ranked.select("_t", F.col("_m").alias("_leaf"), F.col("_s").alias("_score"), "_rank"), "ranked")
+    # each round adds the ancestors at 2^k .. 2^(k+1) - 1 of the leaves
+    path = Log(ranked.select("_t", "_leaf", F.col("_leaf").alias("_m"), F.lit(0).cast("long").alias("_i")), "path")
+    for k, hop in enumerate(hops):
+        up = hop.where("_up is not null").select("_t", "_m", "_up")
+        more = path.read().join(up, ["_t", "_m"]).select("_t", "_leaf", F.col("_up").alias("_m"), (F.col("_i") + (1 << k)).alias("_i"))
+        if not path.append(more):
+            break
+    for hop in hops:
+        release(hop)
+    full = path.read().join(m.select("_t", "_m", "_r.msg"), ["_t", "_m"])
+    told = full.groupBy("_t", "_leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("_i")).alias("i"), "msg"))).alias("_all"))
+    out = told.join(ranked, ["_t", "_leaf"])
+    return out.select(F.col("_t.id").alias(tree), F.col("_leaf.id").alias("leaf"), F.col("_score").alias("path_score"), F.col("_rank").alias("path_rank"), F.col("_all.msg").alias("turns"))
 
 
 def format_paths(paths: DataFrame, tree: str = "conv_id", role: str = "role", text: str = "text") -> DataFrame:
-    """``(tree, leaf, formatted, mask_starts, mask_ends)``: one formatted conversation a path, mask in code points."""
+    """``(tree, leaf, formatted, mask_starts, mask_ends)``: one formatted conversation a path, mask in code points.
+
+    Null roles and texts are empty strings, which give an empty turn (and, for the assistant, an empty stretch of the mask).
+    Repeated paths are formatted each; an empty table gives an empty result; other columns are left out. A conversation is one
+    value: it has to fit in a row.
+    """
     slim = paths.select(tree, "leaf", F.transform("turns", lambda x: F.coalesce(x[role], F.lit(""))).alias("r"), F.transform("turns", lambda x: F.coalesce(x[text], F.lit(""))).alias("x"))
     kind = dict(slim.dtypes)
 
@@ -151,7 +156,10 @@ def chained(rows: DataFrame, tree: str = "conv_id", order: str = "turn") -> Data
 
 
 def digests(formatted: DataFrame, tree: str = "conv_id") -> DataFrame:
-    """What reading the output back gives: turns and everything under the loss mask."""
+    """What reading the output back gives: turns and everything under the loss mask, one row per formatted conversation.
+
+    A null or cut-off conversation is an error; the empty one has no turns. An empty table gives an empty result.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

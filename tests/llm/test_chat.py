@@ -86,3 +86,22 @@ def test_query(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_paths(chat.reply_paths(chat.chained(df)))).count() == 0
+
+
+def test_repeated_rows_long_chains_and_clashing_names(spark):
+    rows = [(1, 0, None, 1.0, "user", "a"), (1, 1, 0, 1.0, "assistant", "b"), (1, 1, 0, 1.0, "assistant", "b"), (1, 1, 0, 1.0, "assistant", "zz"), (1, 2, 2, 1.0, "user", "own parent"), (1, None, 0, 5.0, "user", "no id")]
+    rows += [(2, i, i - 1 if i else None, 0.5, "user", str(i)) for i in range(3000)]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "conv_id long, msg long, parent long, score double, role string, text string, leaf long, path_rank int").repartition(3)
+    got = {(r["conv_id"], r["leaf"]): r for r in chat.reply_paths(df).collect()}
+    assert set(got) == {(1, 1), (1, 2), (1, None), (2, 2999)}
+    assert [t["text"] for t in got[1, 1]["turns"]] == ["a", "b"] and got[1, 1]["path_score"] == 2.0
+    assert [t["text"] for t in got[1, None]["turns"]] == ["a", "no id"] and [got[1, x]["path_rank"] for x in (None, 1, 2)] == [1, 2, 3]
+    assert [t["msg"] for t in got[2, 2999]["turns"]] == list(range(3000)) and got[2, 2999]["path_score"] == 1500.0
+
+
+def test_branching_trees_become_ranked_conversations(spark):
+    rows = [(5, 0, None, 0.0, "user", "ask"), (5, 1, 0, 1.0, "assistant", "poor"), (5, 2, 0, 3.0, "assistant", "good"), (5, 3, 2, 1.0, "user", "thanks"), (5, 4, 2, 2.0, "user", "more?"), (5, 5, 4, 0.0, "assistant", "yes")]
+    df = spark.createDataFrame(rows, "conv_id long, msg long, parent long, score double, role string, text string")
+    made = {r["leaf"]: r["formatted"] for r in chat.format_paths(chat.reply_paths(df, top=2)).collect()}
+    assert {k: [x for _, x in chat.read_back(v)] for k, v in made.items()} == {5: ["ask", "good", "more?", "yes"], 3: ["ask", "good", "thanks"]}
+    assert {r["n_turns"] for r in chat.digests(chat.format_paths(chat.reply_paths(df, top=2))).collect()} == {3, 4}
