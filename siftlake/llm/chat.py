@@ -98,19 +98,20 @@ def reply_paths(messages: DataFrame, tree: str = "conv_id", message: str = "msg"
     m = durable(keyed.groupBy("_t", "_m").agg(F.min("_r").alias("_r")), "messages")
     slim = m.select("_t", "_m", F.when(F.col("_r.p").isNotNull() & ~F.col("_r.p").eqNullSafe(F.col("_m.id")), F.struct(F.col("_r.p").alias("id"))).alias("_p"), F.col("_r.s").alias("_s"))
     known = slim.select("_t", F.col("_m").alias("_p"), F.lit(True).alias("_there"))
-    # up: the message 2^k above (null: the path begins before), and the scores from here up to, without, that message
-    hops = [durable(slim.join(known, ["_t", "_p"], "left").select("_t", "_m", F.expr("if(_there, _p, null)").alias("_up"), "_s"), "hop")]
-    n = hops[0].count()
-    leaves = hops[0].join(hops[0].select("_t", F.col("_up").alias("_m")).where("_m is not null").distinct(), ["_t", "_m"], "left_anti").select("_t", "_m")
-    for _ in range(n.bit_length() + 1):  # what is open after that is on a cycle or hangs on one
-        now = hops[-1]
-        above = now.select("_t", F.col("_m").alias("_up"), F.col("_up").alias("_far"), F.col("_s").alias("_more"))
-        step = now.join(above, ["_t", "_up"], "left").select("_t", "_m", F.col("_far").alias("_up"), (F.col("_s") + F.coalesce("_more", F.lit(0.0))).alias("_s"))
+    # _up: the message 2^k above (null: the path begins before), _s: the scores from here up to, without, that message
+    step = durable(slim.join(known, ["_t", "_p"], "left").select("_t", "_m", F.expr("if(_there, _p, null)").alias("_up"), "_s"), "hop")
+    hops, settled = [step], Log(step.where("_up is null").select("_t", "_m", "_s"), "settled")
+    leaves = step.select("_t", "_m").join(step.where("_up is not null").select("_t", F.col("_up").alias("_m")).distinct(), ["_t", "_m"], "left_anti")
+    for _ in range(step.count().bit_length() + 1):  # what is open after that is on a cycle or hangs on one
+        open_ = hops[-1].where("_up is not null")  # only messages that do not see their root yet take part
+        above = open_.select("_t", F.col("_m").alias("_up"), F.col("_up").alias("_far"), F.col("_s").alias("_more")).unionByName(settled.read().select("_t", F.col("_m").alias("_up"), F.lit(None).cast(step.schema["_up"].dataType).alias("_far"), F.col("_s").alias("_more")))
         seen = Observation()
-        hops.append(durable(step.observe(seen, F.count("_up").alias("open")), "hop"))
+        nearer = open_.join(above, ["_t", "_up"]).select("_t", "_m", F.col("_far").alias("_up"), (F.col("_s") + F.col("_more")).alias("_s"))
+        hops.append(durable(nearer.observe(seen, F.count("_up").alias("open")), "hop"))
+        settled.append(hops[-1].where("_up is null").select("_t", "_m", "_s"))
         if not seen.get["open"]:
             break
-    ends = leaves.join(hops[-1].where("_up is null"), ["_t", "_m"])
+    ends = leaves.join(settled.read(), ["_t", "_m"])
     ranked = ends.withColumn("_rank", F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("_s"), "_m")))
     if top is not None:
         ranked = ranked.where(F.col("_rank") <= top)
