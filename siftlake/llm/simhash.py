@@ -1,12 +1,18 @@
-"""SimHash near-duplicates through vantage-point shards.
+"""SimHash near-duplicates through vantage-point trees.
 
 A fingerprint has 64 bits, the majority of its shingles' XXH64. Texts with one fingerprint are one class from the start.
-Two linked fingerprints differ in at most ``radius`` bits, so at least one of ``radius + 1`` equal blocks of bits does not
-differ at all: each fingerprint goes, once per block, to the shard of that block's value. A shard with more than
-``cell`` fingerprints is split again and again around vantage points: the inside holds what is at most ``mu`` bits away,
-and by the triangle inequality only fingerprints at ``mu - radius`` to ``mu + radius`` bits can have partners across
-the boundary, so only these are sent to the other side too, as queries. Pure vantage-point shards over all 64 bits
-would prune next to nothing, since distances between unrelated fingerprints crowd around 32 bits.
+The distinct fingerprints are searched by vantage-point trees: a tree parts its fingerprints by their Hamming distance
+from a vantage point, down to leaves of ``leaf``, and a query goes only into the sides that the triangle inequality leaves
+open: into the inside (distance at most ``mu``) if it is itself at most ``mu + radius`` from the point, into the outside
+if it is more than ``mu - radius`` from it. The pairs all come from these leaves.
+
+One tree over everything would prune next to nothing: distances between unrelated fingerprints crowd around 32 bits, four
+to either side, so most queries would visit most leaves. Fingerprints are therefore dealt to shards first, by blocks of
+bits: linked fingerprints differ in at most ``radius`` bits, so one of ``radius + 1`` blocks does not differ at all. As many
+bits of a block are used as give shards of about ``cell`` fingerprints, none at all for small inputs. A shard too large for one task (``most``) is parted around
+vantage points in the same way, by joins; what is near the boundary goes to both sides, as a query on the other one. Where
+such a cut would only copy (everything lies near the boundary), the shard is dealt out in tiles, pairs of sub-shards, each of bounded
+size: every pair still meets.
 
 A task links what it sees by a spanning forest, never by all pairs.
 """
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.operators.components import connected_components
-from siftlake.session import durable
+from siftlake.session import durable, durable_counted, release
 
 SEED = 42
 _BITS = np.arange(64, dtype=np.uint64)
@@ -61,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(work, "doc_id bigint, fp bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, cell: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, cell: int = 256) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: one row per document; ``component_id`` is the smallest id it is linked to, through others too.
 
     Null and empty texts have the fingerprint zero and are linked like any other. A text of fewer than ``width`` words
@@ -79,54 +85,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(root, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 3, cell: int = 4096, max_splits: int = 12) -> DataFrame:
-    """``(a, b)``: a spanning forest of the graph of distinct fingerprints at most ``radius`` bits apart."""
+def link_fingerprints(fps: DataFrame, radius: int = 3, cell: int = 256, leaf: int = 32, most: int = 1 << 14) -> DataFrame:
+    """``(a, b)``: a spanning forest of the graph of distinct fingerprints at most ``radius`` bits apart.
+
+    ``cell``: the size of shards that block bits are chosen for; ``most``: fingerprints that one task searches at once. Both
+    only move work, the components are the same for all values. ``fps`` must hold each fingerprint once.
+    """
     blocks = radius + 1
-    edges_of = np.linspace(0, 64, blocks + 1).astype(int)
-    cuts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", int(64 - edges_of[i + 1])), int(64 - edges_of[i + 1] + edges_of[i])).alias("value")) for i in range(blocks)]
+    wide = 64 // blocks
+    n = fps.count()
+    bits = min(max(-(-n // cell) - 1, 0).bit_length(), wide)
+    if bits:
+        cuts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - wide * i - bits), 64 - bits).alias("value")) for i in range(blocks)]
+    else:
+        cuts = [F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("value"))]
     shards = fps.select("fp", F.explode(F.array(*cuts)).alias("k")).select(F.xxhash64("k.block", "k.value").alias("shard"), "fp", F.lit(True).alias("own"))
-    shards = _split_large(shards, radius, cell, max_splits)
+    shards = _split_large(shards, radius, most)
     part = shards.repartition("shard").sortWithinPartitions("shard", F.desc("own"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fp, own in _whole_groups(batches):
-            a, b = _link_sorted(keys, fp, own, radius)
+            a, b = _link_sorted(keys, fp, own, radius, leaf)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return durable(part.mapInArrow(work, "a bigint, b bigint").distinct(), "links")
 
 
-def _split_large(shards: DataFrame, radius: int, cell: int, max_splits: int) -> DataFrame:
-    """Split shards of more than ``cell`` fingerprints around vantage points until none is left or a split gains nothing."""
+def _split_large(shards: DataFrame, radius: int, most: int) -> DataFrame:
+    """Part shards of more than ``most`` fingerprints around vantage points, or into tiles where that would only copy, until none is left."""
     dist = F.bit_count(F.col("fp").bitwiseXOR(F.col("vp")))
-    done = None
-    for _ in range(max_splits):
-        large = shards.groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("vp")).where(F.col("n") > cell)
-        large = durable(large, "large")
-        if not large.limit(1).count():
-            break
-        if done is None:
-            shards = durable(shards, "shards")
+    written = None
+    while True:
+        large, found = durable_counted(shards.groupBy("shard").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", "shard")).alias("vp")).where(F.col("n") > most), "large")
+        if not found:
+            return shards
         small = shards.join(large, "shard", "left_anti")
         far = shards.join(large, "shard").withColumn("d", dist)
-        # 65 possible distances: a histogram gives the median, exactly and with partial aggregation
-        hist = far.groupBy("shard", "d").agg(F.count("*").alias("c"))
-        mid = hist.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("d", "c"))).alias("h"), F.sum("c").alias("total"))
-        mid = mid.select("shard", F.expr("filter(transform(h, (x, i) -> struct(x.d as d, aggregate(slice(h, 1, i + 1), 0L, (s, y) -> s + y.c) as upto)), x -> 2 * x.upto >= total)[0].d").alias("mu"))
+        # 65 possible distances: a histogram gives the median and what a cut there would send to either side
+        hist = far.groupBy("shard", "n", "d").agg(F.count("*").alias("c"))
+        mid = hist.groupBy("shard", "n").agg(F.sort_array(F.collect_list(F.struct("d", "c"))).alias("h"))
+        upto = lambda at: F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s + F.when(x["d"] <= at, x["c"]).otherwise(0))
+        mid = mid.withColumn("mu", F.expr("filter(transform(h, (x, i) -> struct(x.d as d, aggregate(slice(h, 1, i + 1), 0L, (s, y) -> s + y.c) as upto)), x -> 2 * x.upto >= n)[0].d"))
+        mid = mid.withColumns({"inside": upto(F.col("mu") + radius), "outside": F.col("n") - upto(F.col("mu") - radius)})
+        gains = (F.greatest("inside", "outside") <= 0.8 * F.col("n")) & (F.col("inside") + F.col("outside") <= 1.6 * F.col("n"))
+        mid = durable(mid.select("shard", "mu", gains.alias("gains"), F.ceil(F.col("n") / F.lit(most // 2)).cast("int").alias("g")), "cuts")
         at = far.join(mid, "shard")
         inside = F.col("d") <= F.col("mu")
         sides = F.array(
-            F.when(inside | (F.col("d") <= F.col("mu") + radius), F.struct(F.lit(0).alias("side"), (F.col("own") & inside).alias("o"))),
-            F.when(~inside | (F.col("d") > F.col("mu") - radius), F.struct(F.lit(1).alias("side"), (F.col("own") & ~inside).alias("o"))),
+            F.when(F.col("d") <= F.col("mu") + radius, F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("own") & inside).alias("o"))),
+            F.when(F.col("d") > F.col("mu") - radius, F.struct(F.lit(1).alias("i"), F.lit(0).alias("j"), (F.col("own") & ~inside).alias("o"))),
         )
-        cut = at.select("shard", "fp", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s")).select(F.xxhash64("shard", "s.side").alias("shard"), "fp", F.col("s.o").alias("own"))
-        before = shards.count()
-        done = durable(small.unionByName(cut), "shards")
-        if done.count() > 1.6 * before:  # all crowd at the boundary: splitting only copies
-            break
-        shards = done
-    return shards
+        mine = F.pmod(F.xxhash64("fp", "shard"), F.col("g")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.col("own").alias("o")))
+        cut = at.select("shard", "fp", F.explode(F.when(F.col("gains"), F.filter(sides, lambda x: x.isNotNull())).otherwise(tiles)).alias("s"))
+        cut = cut.select(F.xxhash64("shard", "s.i", "s.j").alias("shard"), "fp", F.col("s.o").alias("own"))
+        shards = durable(small.unionByName(cut), "shards")
+        for old in filter(None, (written, large, mid)):
+            release(old)
+        written = shards
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,48 +164,98 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> It
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _link_sorted(keys: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs inside each run of equal keys; large runs give a spanning forest only."""
+def _link_sorted(keys: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of each run of equal keys: runs of at most ``leaf`` are leaves themselves, compared all at once; larger ones get a tree."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     size_of = np.repeat(sizes, sizes)
-    out_a, out_b = [], []
-    lone = size_of <= small
+    out_a, out_b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    lone = size_of <= leaf
     k, f, o = keys[lone], fp[lone], own[lone]
-    for s in range(1, int(min(small, sizes.max(initial=0)))):
-        near = (k[s:] == k[:-s]) & (np.bitwise_count(f[s:] ^ f[:-s]) <= radius) & (o[s:] | o[:-s])
-        at = np.flatnonzero(near)
+    for s in range(1, int(min(leaf, sizes.max(initial=0)))):
+        same = k[s:] == k[:-s]
+        if not same.any():
+            break
+        at = np.flatnonzero(same & (np.bitwise_count(f[s:] ^ f[:-s]) <= radius) & (o[s:] | o[:-s]))
         out_a.append(f[at])
         out_b.append(f[at + s])
-        if not (k[s:] == k[:-s]).any():
-            break
-    for at, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        a, b = _forest(fp[at : at + n], own[at : at + n], radius)
-        out_a.append(a)
-        out_b.append(b)
-    if not out_a:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for at, n in zip(starts[sizes > leaf].tolist(), sizes[sizes > leaf].tolist(), strict=True):
+        a, b = VantageTree(fp[at : at + n], leaf).forest(radius, own[at : at + n])
+        out_a.append(fp[at + a])
+        out_b.append(fp[at + b])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _forest(fp: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of one cell by breadth-first search; a pair needs an owner at one end (its home cell)."""
-    rest, rest_own = fp.copy(), own.copy()
-    a, b = [], []
-    while len(rest):
-        queue = [(rest[0], rest_own[0])]
-        rest, rest_own = rest[1:], rest_own[1:]
-        while queue and len(rest):
-            x, x_own = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
-            if not x_own:
-                near &= rest_own
-            if near.any():
-                found = rest[near]
-                a.append(np.full(len(found), x))
-                b.append(found)
-                queue += list(zip(found, rest_own[near], strict=True))
-                rest, rest_own = rest[~near], rest_own[~near]
-    if not a:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return np.concatenate(a), np.concatenate(b)
+class VantageTree:
+    """A vantage-point tree over distinct 64-bit fingerprints. ``nodes``: (vantage point, mu, inside, outside), or the members of a leaf."""
+
+    def __init__(self, fp: np.ndarray, leaf: int = 32):
+        self.fp, self.nodes = fp, []
+        self.root = self._grow(np.arange(len(fp)), leaf)
+
+    def _grow(self, members: np.ndarray, leaf: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append(members)
+        if len(members) > leaf:
+            vp = members[len(members) // 2]
+            d = np.bitwise_count(self.fp[members] ^ self.fp[vp])
+            mu = min(int(np.partition(d, len(d) // 2)[len(d) // 2]), int(d.max()) - 1)  # neither side is empty: the point itself is at 0
+            inside = d <= mu
+            if inside.any() and not inside.all():
+                self.nodes[at] = (int(vp), mu, self._grow(members[inside], leaf), self._grow(members[~inside], leaf))
+        return at
+
+    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(members of ``queries`` by index, indices of candidates): for each leaf that a query cannot skip; all within ``radius`` are among them."""
+        todo = [(self.root, queries)]
+        while todo:
+            at, q = todo.pop()
+            node = self.nodes[at]
+            if not isinstance(node, tuple):
+                yield q, node
+                continue
+            vp, mu, inside, outside = node
+            d = np.bitwise_count(self.fp[q] ^ self.fp[vp]).astype(np.int64)
+            for side, sub in ((outside, q[d > mu - radius]), (inside, q[d <= mu + radius])):
+                if len(sub):
+                    todo.append((side, sub))
+
+    def forest(self, radius: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of indices that span the graph of pairs within ``radius``; a pair needs an owner at one end."""
+        n = len(self.fp)
+        own = np.ones(n, bool) if own is None else own
+        label = np.arange(n)
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def link(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal label
+            la, lb = label[a], label[b]
+            _, first = np.unique(np.minimum(la, lb) * n + np.maximum(la, lb), return_index=True)
+            a, b, la, lb = a[first], b[first], la[first], lb[first]
+            out_a.append(a)
+            out_b.append(b)
+            root = np.arange(n)
+            while True:
+                x, y = root[la], root[lb]
+                if (x == y).all():
+                    break
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root[root] != root).any():
+                    root = root[root]
+            label = root[label]
+
+        # what is near a vantage point hangs together through it: crowds fall into one label before any leaf is compared
+        for node in self.nodes:
+            if isinstance(node, tuple):
+                vp = node[0]
+                near = np.flatnonzero((np.bitwise_count(self.fp ^ self.fp[vp]) <= radius) & (label != label[vp]) & (own | own[vp]))
+                if len(near):
+                    link(near, np.full(len(near), vp))
+        for q, members in self.search(np.arange(n), radius):
+            for i in range(0, len(q), 1 << 16):
+                part = q[i : i + (1 << 16)]
+                hit = (np.bitwise_count(self.fp[part][:, None] ^ self.fp[members][None, :]) <= radius) & (label[part][:, None] != label[members][None, :]) & (own[part][:, None] | own[members][None, :])
+                x, y = np.nonzero(hit)
+                if len(x):
+                    link(part[x], members[y])
+        return np.concatenate(out_a), np.concatenate(out_b)

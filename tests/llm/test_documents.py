@@ -51,18 +51,20 @@ def test_simhash_matches_brute_force(docs, rows):
     assert sorted(got, key=str) == want
 
 
-@pytest.mark.parametrize("cell", [16, 4096])
-def test_links_of_crowded_fingerprints(spark, cell):
-    rng = np.random.default_rng(3)
+def crowd(n=400, seed=3):
+    """Fingerprints around a base, some in chains, and unrelated ones."""
+    rng = np.random.default_rng(seed)
     base = int(rng.integers(1 << 62))
     fps = {base}
-    for _ in range(400):
+    for _ in range(n):
         x = base
         for b in rng.integers(0, 64, rng.integers(1, 9)):
             x ^= 1 << int(b)
         fps.add(x)
-    fps |= {int(x) for x in rng.integers(0, 1 << 63, 300)}
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    return sorted(fps | {int(x) for x in rng.integers(0, 1 << 63, 300)})
+
+
+def same_components(fps, pairs, radius=3):
     parent = {f: f for f in fps}
 
     def find(x):
@@ -70,16 +72,41 @@ def test_links_of_crowded_fingerprints(spark, cell):
             x = parent[x]
         return x
 
-    for r in simhash.link_fingerprints(df, 3, cell).collect():
-        a, b = r["a"] % (1 << 64), r["b"] % (1 << 64)
-        assert (a ^ b).bit_count() <= 3
+    for a, b in pairs:
+        assert (a ^ b).bit_count() <= radius
         parent[find(a)] = find(b)
-    want = brute_components(list(fps))
-    assert Counter(Counter(find(f) for f in fps).values()) == Counter(Counter(want.values()).values())
-    groups = defaultdict(set)
+    want, groups, back = brute_components(fps), defaultdict(set), defaultdict(set)
     for f in fps:
         groups[find(f)].add(want[f])
-    assert all(len(g) == 1 for g in groups.values())
+        back[want[f]].add(find(f))
+    return all(len(g) == 1 for g in [*groups.values(), *back.values()])
+
+
+@pytest.mark.parametrize("cell, leaf, most", [(16, 8, 64), (1 << 20, 8, 100), (1 << 20, 32, 1 << 14), (64, 32, 1 << 14), (1, 4, 30)])
+def test_links_of_crowded_fingerprints(spark, cell, leaf, most):
+    fps = crowd()
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    rows = simhash.link_fingerprints(df, 3, cell, leaf, most).collect()
+    assert same_components(fps, [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in rows])
+
+
+@pytest.mark.parametrize("leaf", [4, 32])
+def test_vantage_tree(leaf):
+    fps = np.array(crowd(), np.uint64)
+    tree = simhash.VantageTree(fps, leaf)
+    leaves = [x for x in tree.nodes if not isinstance(x, tuple)]
+    assert len(leaves) > 10 and max(map(len, leaves)) <= leaf and sorted(np.concatenate(leaves).tolist()) == list(range(len(fps)))
+    a, b = tree.forest(3)
+    assert len(a) < 4 * len(fps) and same_components(fps.tolist(), zip(fps[a].tolist(), fps[b].tolist()))
+    for radius in (0, 3, 8, 20):
+        seen, looked = defaultdict(set), 0
+        for q, members in tree.search(np.arange(len(fps)), radius):
+            looked += len(q) * len(members)
+            for i in q.tolist():
+                seen[i] |= set(members.tolist())
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+        assert all(set(np.flatnonzero(near[i]).tolist()) <= seen[i] for i in range(len(fps)))
+        assert radius > 3 or looked < 0.9 * len(fps) ** 2  # bounds prune
 
 
 def brute_stats(text):
