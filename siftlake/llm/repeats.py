@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,19 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+class WordHashes(dict):
+    """XXH3 of words, remembered; bounded by starting anew."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        v = self[word] = xxhash.xxh3_64_intdigest(word)
+        return v
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def extend(h: np.ndarray, width: int, to: int) -> np.ndarray:
     """Hashes of ``to``-unit windows from those of ``width`` units: doubled while possible, the last step overlapping."""
     while width < to:

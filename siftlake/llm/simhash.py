@@ -19,14 +19,16 @@ A task links what it sees by a spanning forest, never by all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.llm import repeats as R
 from siftlake.operators.components import connected_components
 from siftlake.session import durable, durable_counted, release
 
@@ -259,3 +261,156 @@ class VantageTree:
                 if len(x):
                     link(part[x], members[y])
         return np.concatenate(out_a), np.concatenate(out_b)
+
+
+BANDS, ROWS = 25, 4
+_DRAW = np.random.default_rng(336)
+_TIMES = _DRAW.integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _DRAW.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
+
+
+def shingle_set(text: bytes, width: int, cache: R.WordHashes) -> np.ndarray:
+    """The sorted distinct hashes of the ``width``-word shingles; fewer words are one shingle, none is none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = cache.of(words)
+    if len(h) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(R.extend(h, 1, width))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(((2 * ones > len(h)).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
+
+
+def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``BANDS`` hashes per set: each joins the least values of ``ROWS`` hash functions. The empty set has zeros' hashes."""
+    least = np.zeros((len(sets), BANDS * ROWS), np.uint32)
+    for i, h in enumerate(sets):
+        if len(h):
+            x = (h >> np.uint64(32)).astype(np.uint32)
+            least[i] = 0xFFFFFFFF
+            for at in range(0, len(x), 4096):  # bounded memory for long texts
+                np.minimum(least[i], (x[at : at + 4096, None] * _TIMES + _PLUS).min(axis=0), out=least[i])
+    four = least.astype(np.uint64).reshape(len(sets), BANDS, ROWS)
+    return R.mix(R.mix(four[:, :, 0], four[:, :, 1]), R.mix(four[:, :, 2], four[:, :, 3])) ^ R.mix(np.arange(BANDS, dtype=np.uint64), np.uint64(1))
+
+
+def widest(similarity: float, lost: float = 1e-6) -> int:
+    """Bits in which fingerprints of two sets of this Jaccard similarity differ, but for a share ``lost`` of the pairs: each bit
+    differs with the probability of the angle between the sets, over pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    tail, k = 1.0, -1
+    while tail > lost:
+        k += 1
+        tail -= math.comb(64, k) * p**k * (1 - p) ** (64 - k)
+    return k
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_k``: id and XXH64 of the text, which tells rows apart whatever their ids are."""
+    return docs.withColumn("_k", F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, radius: int = 3, pivots: int = 2) -> DataFrame:
+    """``(_k, v, component)``: the key of every row, its class of equal shingle sets, and the least class that can be reached over
+    pairs whose ``width``-word shingle sets have an exact Jaccard similarity of ``similarity`` or more.
+
+    Candidates come from fingerprints of the shingle sets. Those at most ``radius`` bits apart are found by vantage-point
+    trees, all of them. At a similarity of 0.8 fingerprints are some ten bits apart, where no tree over 64 bits prunes; for what lies beyond the radius,
+    fingerprints meet in the buckets of 25 min-hash bands of four rows, which a pair at 0.8 misses with a probability of 2e-6, and pairs
+    further apart than ``widest`` are dropped, which loses another 1e-6. All candidates are verified on their whole sets.
+
+    A crowded bucket is never spelled out: its rows are first compared with ``pivots`` members in turn; only pairs that are not
+    connected by then are compared with each other. A bucket whose members all hang together costs one row a member.
+
+    Only members of the same bucket with different components, and only the sets of classes that are in a candidate pair, are moved.
+    Null and wordless texts are one class, the empty set. Repeated rows are one class. An empty table gives an empty result.
+    """
+    rows = _keyed(docs, id_col, text_col).select("_k", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    kind = dict(rows.dtypes)["_k"]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = R.WordHashes()
+        for b in batches:
+            sets = [shingle_set(t.as_py(), width, cache) for t in b.column("t")]
+            v = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
+            fp = np.fromiter(map(_majority, sets), np.uint64, len(sets))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(v.view(np.int64)), pa.array(fp.view(np.int64)), lists], ["_k", "v", "fp", "bands"])
+
+    sk = durable(rows.mapInArrow(sketch, f"_k {kind}, v bigint, fp bigint, bands array<bigint>"), "sketch")
+    reps = durable(sk.groupBy("v").agg(F.min("_k").alias("_k"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "reps")
+    same = durable(reps.groupBy("fp").agg(F.min("v").alias("f")), "same")
+    links = link_fingerprints(same.select("fp"), radius)
+    named = same.select(F.col("fp").alias("a"), F.col("f").alias("x")), same.select(F.col("fp").alias("b"), F.col("f").alias("y"))
+    near = links.join(named[0], "a").join(named[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(reps.join(same, "fp").where("v <> f").select(F.col("f").alias("a"), F.col("v").alias("b")))
+    near = durable(near, "near")
+    banded = reps.select("v", "fp", F.explode("bands").alias("band"))
+    shared = durable(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    members = durable(banded.join(shared, "band"), "members")
+    # the whole sets of the classes that may be in a pair
+    wanted = members.select("v").union(near.select(F.col("a").alias("v"))).union(near.select(F.col("b").alias("v"))).distinct()
+    texts = rows.join(reps.select("_k", "v").join(wanted, "v"), "_k").select("v", "t")
+
+    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = R.WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array([shingle_set(t.as_py(), width, cache).tobytes() for t in b.column("t")], pa.binary())], ["v", "s"])
+
+    sets = durable(texts.mapInArrow(collect_sets, "v bigint, s binary").dropDuplicates(["v"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.zeros(b.num_rows, bool)
+                for i, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"), strict=True)):
+                    x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    k = int((both[1:] == both[:-1]).sum())
+                    keep[i] = k >= similarity * (len(both) - k)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+        whole = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+        return durable(whole.mapInArrow(work, "a bigint, b bigint"), "verified")
+
+    edges = verified(near)
+    apart = widest(similarity)
+    for turn in range(pivots + 1):
+        label = durable(connected_components(edges), "label")
+        now = durable(members.join(label, F.col("v") == F.col("id"), "left").select("band", "v", "fp", F.coalesce("component", "v").alias("c")), "now")
+        pivot = F.min_by(F.struct("v", "fp", "c"), F.xxhash64("v", F.lit(turn))).alias("p")
+        mixed = durable(now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot).where("lo <> hi").select("band", "p"), "mixed")
+        if turn < pivots:
+            met = now.join(mixed, "band").select("v", "fp", "c", F.col("p.v").alias("pv"), F.col("p.fp").alias("pf"), F.col("p.c").alias("pc"))
+        else:
+            rest = durable(now.join(mixed.select("band"), "band"), "rest")
+            other = rest.select("band", F.col("v").alias("pv"), F.col("fp").alias("pf"), F.col("c").alias("pc"))
+            met = rest.join(other, "band").where("c < pc")
+        close = met.where((F.col("c") != F.col("pc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pf"))) <= apart))
+        pairs, n = durable_counted(close.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")).distinct(), "pairs")
+        if n:
+            edges = edges.unionByName(verified(pairs))
+    label = durable(connected_components(edges), "label")
+    return sk.select("_k", "v").join(label, F.col("v") == F.col("id"), "left").select("_k", "v", F.coalesce("component", "v").alias("component"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of ``docs``, unchanged, of which no other of their group (see ``similar_groups``) has a smaller id.
+
+    Of rows of one id the one whose text has the least hash stays, of rows that repeat both one; a null id comes after all others.
+    """
+    groups = durable(similar_groups(docs, id_col, text_col, similarity, width), "groups")
+    kept = groups.groupBy("component").agg(F.min("_k").alias("_k")).select("_k")
+    times = groups.join(kept, "_k").groupBy("_k").agg(F.count("*").alias("_n"))
+    once, repeated = durable(times, "kept"), F.col("_n") > 1
+    out = _keyed(docs, id_col, text_col).join(once, "_k")
+    if not once.where(repeated).limit(1).count():
+        return out.drop("_k", "_n")
+    first = out.where(repeated).withColumn("_i", F.row_number().over(Window.partitionBy("_k").orderBy("_n"))).where("_i = 1")
+    return out.where(~repeated).unionByName(first.drop("_i")).drop("_k", "_n")

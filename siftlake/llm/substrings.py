@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +20,11 @@ from siftlake.llm import repeats as R
 from siftlake.session import durable, release
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-
-_CACHE = _Hashes()
+_CACHE = R.WordHashes()
 
 
 def _units(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(_CACHE.__getitem__, words), np.uint64, len(words))
+    return _CACHE.of(text.split())
 
 
 def _whole(text: bytes) -> tuple[int, str]:
