@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from siftlake.llm import decontaminate, licenses, packing, quality, sharding, simhash
+from siftlake.session import durable
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -250,11 +251,59 @@ def test_added_tokens_as_in_the_tokenizer(name):
         assert list(encode(text)) == contract.encode(text, add_special_tokens=False).ids
 
 
-def test_walk_visits_everything_once():
+def brute_walk(n, edges):
+    near = defaultdict(dict)
+    for a, b, w in edges:
+        near[a][b] = near[b][a] = w
+    out = []
+    for start in sorted(range(n), key=lambda v: (len(near[v]), v)):
+        v = start
+        while v is not None and v not in out:
+            out.append(v)
+            left = [u for u in near[v] if u not in out]
+            v = min(left, key=lambda u: (-near[v][u], len(near[u]), u)) if left else None
+    return out
+
+
+def test_walk_matches_its_definition():
     rng = np.random.default_rng(4)
-    for n in (0, 1, 2, 3, 50):
-        x = rng.normal(size=(n, 8)).astype(np.float32)
-        assert sorted(packing.walk(x)) == list(range(n))
+    for n, m in ((0, 0), (1, 0), (2, 1), (3, 2), (50, 120), (80, 60)):
+        edges = {tuple(sorted(map(int, rng.choice(n, 2, replace=False)))): np.float32(rng.integers(1, 9)) for _ in range(m)}
+        a, b, w = (np.array([x[i] for x in [(*k, v) for k, v in edges.items()]]) for i in range(3))
+        got = packing.walk(n, a.astype(np.int64), b.astype(np.int64), w.astype(np.float32))
+        assert got == brute_walk(n, [(*k, v) for k, v in edges.items()]) and sorted(got) == list(range(n))
+
+
+def test_neighbour_recall_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+    index = packing.fit_index(docs, "byte_bpe_50k.tiktoken", sample=500, per_cell=40)
+    assert len(index.centroids) > 15
+    tokens = durable(packing.tokenise(docs, "byte_bpe_50k.tiktoken", index), "tokens")
+    y = {r["vid"]: np.frombuffer(r["y"], np.float32) for r in tokens.collect()}
+    vids, m = np.array(list(y)), np.stack(list(y.values()))
+    for tile in (packing.TILE, 16):
+        got = {r["vid"]: np.frombuffer(r["near"], packing._NEAR) for r in packing.neighbours(tokens, tile=tile).collect()}
+        assert set(got) == set(y)
+        found = total = 0
+        for i, v in enumerate(vids):
+            sim = m @ m[i]
+            sim[i] = -2
+            best = np.sort(sim)[-packing.NEIGHBOURS :]
+            found += int((got[v]["s"] >= best[0] - 1e-5).sum())
+            total += packing.NEIGHBOURS
+            assert len(set(got[v]["v"].tolist())) == packing.NEIGHBOURS and v not in got[v]["v"] and (np.diff(got[v]["s"]) <= 0).all()
+        assert found >= 0.9 * total, found / total
+
+
+def test_related_documents_share_sequences(spark):
+    rng = np.random.default_rng(2)
+    topics = [["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(30)] for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(topics[i % 6], 60))) for i in range(240)]
+    got = packing.pack_related(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    in_seq = defaultdict(list)
+    for r in got:
+        in_seq[r["sequence_id"]].append(r["doc_id"] % 6)
+    assert sum(len(set(x)) == 1 for x in in_seq.values()) > 0.7 * len(in_seq)
 
 
 def test_licenses(spark):
