@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,21 +16,37 @@ WORDS = {
 }
 
 
-def _in(terms: list[str]):
+def _in(terms: list[str]) -> Callable[[Column], Column]:
     return lambda w: w.isin(*terms)
 
 
+_ANY = "[" + "".join(SCRIPTS.values()) + "]"
+
+
 def identify(text: Column) -> Column:
     """The best label and its share of the evidence; text without any evidence is ``und`` with score 0.01, null gives null.
 
     A letter of a script counts as one, a function word as four. Ties go to the label that comes last in the alphabet.
+    Words are split once: lambda variables hold what is used more than once. Texts without a letter of the listed scripts skip their counts.
     """
-    lower = F.lower(text)
-    found = F.split(lower, "[^\\p{L}]+")
     scripts = [F.struct(F.regexp_count(text, F.lit(f"[{r}]")).cast("long").alias("score"), F.lit(k).alias("label")) for k, r in SCRIPTS.items()]
-    counts = [F.struct((F.size(F.filter(found, _in(v))) * 4).cast("long").alias("score"), F.lit(k).alias("label")) for k, v in WORDS.items()]
-    every = F.array(*scripts, *counts)
-    best = F.array_max(every)
-    total = F.aggregate(F.transform(every, lambda x: x["score"]), F.lit(0).cast("long"), lambda a, b: a + b)
-    hit = best["score"] > 0
-    return F.when(text.isNotNull(), F.struct(F.when(hit, best["label"]).otherwise("und").alias("label"), F.when(hit, F.try_divide(best["score"], total)).otherwise(F.lit(0.01)).cast("double").alias("score")))
+    none = [F.struct(F.lit(0).cast("long").alias("score"), F.lit(k).alias("label")) for k in SCRIPTS]
+    found = F.filter(F.split(F.lower(text), "[^\\p{L}]+"), _in(sorted({w for v in WORDS.values() for w in v})))
+
+    def best(x: Column) -> Column:
+        words = [F.struct((F.size(F.filter(x["w"], _in(v))) * 4).cast("long").alias("score"), F.lit(k).alias("label")) for k, v in WORDS.items()]
+        return F.struct(F.concat(x["s"], F.array(*words)).alias("e"))
+
+    def verdict(x: Column) -> Column:
+        top = F.array_max(x["e"])
+        return F.struct(top.alias("top"), F.aggregate(x["e"], F.lit(0).cast("long"), lambda a, b: a + b["score"]).alias("total"))
+
+    def result(x: Column) -> Column:
+        hit = x["top"]["score"] > 0
+        share = F.when(hit, F.try_divide(x["top"]["score"], x["total"])).otherwise(F.lit(0.01)).cast("double")
+        return F.struct(F.when(hit, x["top"]["label"]).otherwise("und").alias("label"), share.alias("score"))
+
+    made = F.array(F.struct(found.alias("w"), F.when(text.rlike(_ANY), F.array(*scripts)).otherwise(F.array(*none)).alias("s")))
+    for step in (best, verdict, result):
+        made = F.transform(made, step)
+    return F.when(text.isNotNull(), made[0])

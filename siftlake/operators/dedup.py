@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.words import held, lines, word_ngrams
+from siftlake.functions.words import held, lines
 from siftlake.operators.components import connected_components
-from siftlake.session import durable
+from siftlake.session import durable, durable_counted
 
 
 def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -62,98 +64,154 @@ class MinHash:
             raise ValueError("num_hashes must be a multiple of num_bands")
 
 
-def shingles(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, sh)``: the set of hashed word n-grams of the lower-cased text; texts without words are left out."""
-    ws = held(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_w", F.filter(F.split(F.lower("_t"), "[ \\t\\n\\r]+"), lambda w: w != "")).drop("_t")
-    return held(ws.where(F.size("_w") > 0), "sh", F.array_distinct(F.transform(word_ngrams(F.col("_w"), n), lambda s: F.xxhash64(s)))).select("_k", "sh")
+_SPLIT = re.compile(rb"[ \t\n\r]+")
+_ODD = re.compile(rb"[\x0b\x0c\x1c-\x1f]")
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def signatures(sh: DataFrame, num_hashes: int) -> DataFrame:
-    """``(_k, sig)``: for each seed the least seeded hash of the set.
+class _WordHashes(dict):
+    """XXH3 of words, remembered; bounded by starting anew."""
 
-    The sets hold 64-bit hashes already, so a seeded hash is one multiplication and addition; Arrow batches do these
-    in bulk, where a lambda function would be interpreted once per shingle and seed.
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        v = self[word] = xxhash.xxh3_64_intdigest(word)
+        return v
+
+
+def shingle_set(lower: bytes, n: int, cache: _WordHashes) -> np.ndarray:
+    """The sorted distinct hashes of the word n-grams of a lower-cased text; fewer words are one n-gram, none is none."""
+    words = [w for w in _SPLIT.split(lower) if w] if _ODD.search(lower) else lower.split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    out = np.full(max(len(h) - n + 1, 1), len(h) if len(h) < n else n, np.uint64)
+    for i in range(min(n, len(h))):
+        out = (out ^ h[i : i + len(out)]) * _C1
+        out = (out ^ (out >> np.uint64(29))) * _C2
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def sketches(docs: DataFrame, p: MinHash, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(_k, c, n, bands)`` of the texts with words: a digest and the size of the set of word n-grams, and one hash a band of its signature.
+
+    A signature has, for each seed, the least seeded hash of the set, 32 bits wide. Lower-casing is Spark's; sets, digests and signatures are made in
+    Arrow batches, where a lambda function would be interpreted once per n-gram and seed.
     """
     draw = np.random.default_rng(336)
-    times = draw.integers(0, 1 << 63, num_hashes, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = draw.integers(0, 1 << 63, num_hashes, dtype=np.int64).astype(np.uint64)
+    times = draw.integers(0, 1 << 31, p.num_hashes).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    plus = draw.integers(0, 1 << 32, p.num_hashes).astype(np.uint32)
+    rows = p.num_hashes // p.num_bands
+    slim = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.lower(text).cast("binary").alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WordHashes()
         for b in batches:
-            out = np.empty((b.num_rows, num_hashes), np.uint64)
-            for i, row in enumerate(b.column("sh")):
-                x = row.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                least = np.full(num_hashes, (1 << 64) - 1, np.uint64)
+            sets = [shingle_set(t.as_py(), p.ngrams, cache) for t in b.column("t")]
+            kept = np.flatnonzero([len(s) > 0 for s in sets])
+            bands = np.zeros((len(kept), p.num_bands), np.uint64)
+            for i, j in enumerate(kept.tolist()):
+                x = (sets[j] >> np.uint64(32)).astype(np.uint32)
+                least = np.full(p.num_hashes, 0xFFFFFFFF, np.uint32)
                 for at in range(0, len(x), 4096):  # bounded memory for long texts
                     np.minimum(least, (x[at : at + 4096, None] * times + plus).min(axis=0), out=least)
-                out[i] = least
-            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * num_hashes)
-            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.ListArray.from_arrays(ends, pa.array(out.view(np.int64).ravel()))], ["_k", "sig"])
+                h = np.arange(p.num_bands, dtype=np.uint64)
+                for part in least.reshape(p.num_bands, rows).T:
+                    h = (h ^ part) * _C1
+                    h = (h ^ (h >> np.uint64(31))) * _C2
+                bands[i] = h
+            ends = pa.array(np.arange(len(kept) + 1, dtype=np.int32) * p.num_bands)
+            lists = pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel()))
+            digest = pa.array([xxhash.xxh3_128_digest(sets[j].tobytes()) for j in kept], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("_k").take(pa.array(kept)), digest, pa.array([len(sets[j]) for j in kept], pa.int64()), lists], ["_k", "c", "n", "bands"])
 
-    return sh.select("_k", "sh").mapInArrow(work, f"_k {dict(sh.dtypes)['_k']}, sig array<bigint>")
+    return slim.mapInArrow(work, f"_k {dict(slim.dtypes)['_k']}, c binary, n bigint, bands array<bigint>")
 
 
-def band_keys(sig: DataFrame, p: MinHash) -> DataFrame:
-    """``(_k, band)``: one hash per band of the signature."""
-    rows = p.num_hashes // p.num_bands
-    return sig.select("_k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.num_bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))).alias("band"))
+def band_keys(sk: DataFrame) -> DataFrame:
+    """``(_k, band)``: one row a band."""
+    return sk.select("_k", F.explode("bands").alias("band"))
+
+
+@dataclass
+class _Banded:
+    """Classes of equal sets in buckets: ``member`` (_k, c), ``rep`` (c, _r), ``bands`` (_k, band) of buckets with two classes or more, ``sets`` (_k, s) of their classes."""
+
+    member: DataFrame
+    rep: DataFrame
+    bands: DataFrame
+    sets: DataFrame
+
+
+def _banded(docs: DataFrame, p: MinHash, key: str, text: str) -> _Banded:
+    """One pass over the texts for the sketches, and another over those whose class shares a bucket for their whole sets."""
+    sk = durable(sketches(docs, p, key, text), "sketches")
+    member = sk.select("_k", "c")
+    reps = durable(sk.groupBy("c").agg(F.min("_k").alias("_k"), F.first("bands").alias("bands")), "reps")
+    banded = band_keys(reps)
+    shared = durable(banded.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1").select("band"), "shared")
+    bands = durable(banded.join(shared, "band"), "bands")
+    wanted = durable(bands.select("_k").distinct(), "wanted")
+    texts = docs.select(F.col(key).alias("_k"), F.lower(text).cast("binary").alias("t")).join(wanted, "_k")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array([shingle_set(t.as_py(), p.ngrams, cache).tobytes() for t in b.column("t")], pa.binary())], ["_k", "s"])
+
+    sets = durable(texts.mapInArrow(work, f"_k {dict(docs.dtypes)[key]}, s binary"), "sets")
+    return _Banded(member, reps.select("c", F.col("_k").alias("_r")), bands, sets)
 
 
 def near_duplicate_pairs(docs: DataFrame, p: MinHash = MinHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(a, b, jaccard)`` with a < b between representatives of equal shingle sets, exactly verified, at or above the threshold.
 
     Documents of one shingle set are one class: its smallest key stands for it in the join, so a large group of copies adds
-    one row. ``near_duplicate_clusters`` adds the members.
+    one row. ``near_duplicate_clusters`` adds the members. Keys must be unique.
     """
-    reps, bands = _banded(docs, p, key, text)
-    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x._k") < F.col("y._k"))).select(F.col("x._k").alias("a"), F.col("y._k").alias("b")).distinct()
-    return _verified(pairs, reps, p)
+    own = _banded(docs, p, key, text)
+    x, y = own.bands.select(F.col("_k").alias("a"), "band"), own.bands.select(F.col("_k").alias("b"), "band")
+    return _verified(x.join(y, "band").where("a < b").select("a", "b").distinct(), own.sets, p)
 
 
-def near_duplicate_links(docs: DataFrame, p: MinHash = MinHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def _links(own: _Banded, p: MinHash) -> DataFrame:
     """Verified pairs that connect what ``near_duplicate_pairs`` connects, without spelling out crowded buckets.
 
     A bucket is first compared with its smallest member only. Members near it are connected already, so of the other
     pairs just those with a member that is not near it are left to compare.
     """
-    reps, bands = _banded(docs, p, key, text)
-    bands = durable(bands, "bands")
-    heads = durable(bands.groupBy("band").agg(F.min("_k").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "heads")
-    star = durable(bands.join(heads, "band").where("_k <> a").select("band", "a", F.col("_k").alias("b")), "star")
-    near = durable(_verified(star.select("a", "b").distinct(), reps, p), "near")
+    heads = durable(own.bands.groupBy("band").agg(F.min("_k").alias("a")), "heads")
+    star = durable(own.bands.join(heads, "band").where("_k <> a").select("band", "a", F.col("_k").alias("b")), "star")
+    near = durable(_verified(star.select("a", "b").distinct(), own.sets, p), "near")
     rest = star.join(near, ["a", "b"], "left_anti").select("band", F.col("b").alias("x"))
-    pairs = rest.join(bands, "band").where("x <> _k").select(F.least("x", "_k").alias("a"), F.greatest("x", "_k").alias("b")).distinct()
-    return near.unionByName(_verified(pairs, reps, p))
-
-
-def _banded(docs: DataFrame, p: MinHash, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    reps = _classes(docs, p, key, text).groupBy("_c").agg(F.min("_k").alias("_k"), F.any_value("sh").alias("sh"))
-    reps = durable(reps.select("_k", "sh"), "reps")
-    return reps, band_keys(signatures(reps, p.num_hashes), p)
+    pairs, n = durable_counted(rest.join(own.bands, "band").where("x <> _k").select(F.least("x", "_k").alias("a"), F.greatest("x", "_k").alias("b")).distinct(), "pairs")
+    return near.unionByName(_verified(pairs, own.sets, p)) if n else near
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
     """Pairs with their exact Jaccard value, at or above the threshold."""
-    left = reps.select(F.col("_k").alias("a"), F.col("sh").alias("sa"))
-    right = reps.select(F.col("_k").alias("b"), F.col("sh").alias("sb"))
-    sets = pairs.join(left, "a").join(right, "b")
-    counted = held(sets, "_both", F.size(F.array_intersect("sa", "sb")))
-    j = counted.select("a", "b", (F.col("_both") / (F.size("sa") + F.size("sb") - F.col("_both"))).alias("jaccard"))
-    return j.where(F.col("jaccard") >= p.jaccard_threshold)
+    whole = pairs.join(sets.select(F.col("_k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_k").alias("b"), F.col("s").alias("sb")), "b")
+    kind = dict(pairs.dtypes)["a"]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            j = np.zeros(b.num_rows)
+            for i, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)):
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                k = int((both[1:] == both[:-1]).sum())
+                j[i] = k / (len(both) - k)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(j)], ["a", "b", "jaccard"])
 
-def _classes(docs: DataFrame, p: MinHash, key: str, text: str) -> DataFrame:
-    sh = shingles(docs, p.ngrams, key, text)
-    return held(sh, "_c", F.sha2(F.array_join(F.array_sort("sh"), ","), 256))
+    return whole.mapInArrow(work, f"a {kind}, b {kind}, jaccard double").where(F.col("jaccard") >= p.jaccard_threshold)
 
 
 def near_duplicate_clusters(docs: DataFrame, p: MinHash = MinHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, cluster)`` for every document; ``cluster`` is the smallest key that can be reached over verified pairs and copies."""
-    member = _classes(docs, p, key, text).select("_k", "_c")
-    rep = member.groupBy("_c").agg(F.min("_k").alias("_r"))
-    comp = connected_components(near_duplicate_links(docs, p, key, text))
-    of = member.join(rep, "_c").join(comp, F.col("_r") == F.col("id"), "left").select("_k", F.coalesce("component", "_r").alias("cluster"))
-    bare = docs.join(of, F.col(key) == F.col("_k"), "left")
+    own = _banded(docs, p, key, text)
+    comp = connected_components(_links(own, p))
+    of = own.member.join(own.rep, "c").join(comp, F.col("_r") == F.col("id"), "left").select("_k", F.coalesce("component", "_r").alias("cluster"))
+    bare = docs.select(key).join(of, F.col(key) == F.col("_k"), "left")
     return bare.select(key, F.coalesce("cluster", key).alias("cluster"))
 
 

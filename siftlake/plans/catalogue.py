@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import gopher, langid, markup, pii, urls
-from siftlake.functions.words import word_ngrams, words
+from siftlake.functions.words import held, word_ngrams, words
 from siftlake.models import classifier
 from siftlake.operators import corpus, dedup
-from siftlake.session import table
+from siftlake.session import durable, table
 from siftlake.sources.warc import kept_share
 from siftlake.streaming import events as streaming
 
@@ -89,22 +89,23 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the LSH buckets are: bands and the documents in them, without spelling out pairs."""
-    b = dedup.band_keys(dedup.signatures(dedup.shingles(_docs(spark, sf_dir), 5), 20), dedup.MinHash(20, 5))
+    b = dedup.band_keys(dedup.sketches(_docs(spark, sf_dir), P))
     return b.groupBy("band").agg(F.count("*").alias("docs")).groupBy("docs").agg(F.count("*").alias("buckets"))
 
 
 def langid_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", langid.identify(F.col("text")).alias("p")).select("doc_id", "p.label", F.round("p.score", 6).alias("score"))
+    return held(_docs(spark, sf_dir).select("doc_id", "text"), "p", langid.identify(F.col("text"))).select("doc_id", "p.label", F.round("p.score", 6).alias("score"))
 
 
 def english_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = langid.identify(F.col("text"))
-    return _docs(spark, sf_dir).where((p["label"] == "en") & (p["score"] >= 0.7)).select("doc_id", "text")
+    p = held(_docs(spark, sf_dir).select("doc_id", "text"), "p", langid.identify(F.col("text")))
+    return p.where("p.label = 'en' and p.score >= 0.7").select("doc_id", "text")
 
 
 def filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points in all and skipped, and the percentage kept, per chunk of documents (here: per source)."""
-    d = _docs(spark, sf_dir).select(F.col("source").alias("chunk"), "text", (F.col("lang") == "en").alias("keep"))
+    p = held(_docs(spark, sf_dir).select("source", "text"), "p", langid.identify(F.col("text")))
+    d = p.select(F.col("source").alias("chunk"), "text", F.expr("p.label = 'en' and p.score >= 0.7").alias("keep"))
     return kept_share(d).withColumn("kept_percent", F.round("kept_percent", 6))
 
 
@@ -117,7 +118,7 @@ def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded link names for pages in URL order."""
+    """Padded link names for pages in the order of their ids."""
     p = table(spark, sf_dir, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("base"))
     return corpus.padded_names(p, "base", "page_id").select("page_id", "link")
 
@@ -216,8 +217,9 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaning_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language filter, quality rules, masks, line dedup, document dedup."""
-    kept = gopher.with_metrics(_docs(spark, sf_dir).where("lang = 'en'")).where("keep").select("doc_id", pii.mask_all(F.col("text")).alias("text"))
-    lines = dedup.exact_line_dedup(kept).where("text <> ''")
+    english = held(_docs(spark, sf_dir).select("doc_id", "text"), "p", langid.identify(F.col("text"))).where("p.label = 'en' and p.score >= 0.7").drop("p")
+    kept = durable(gopher.with_metrics(english).where("keep").select("doc_id", pii.mask_all(F.col("text")).alias("text")), "kept")
+    lines = durable(dedup.exact_line_dedup(kept).where("text <> ''"), "lines")
     return dedup.exact_document_dedup(lines).select("doc_id", "text")
 
 

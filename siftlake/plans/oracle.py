@@ -84,6 +84,8 @@ SELECT doc_id, CASE WHEN s > {share} THEN '{positive}' ELSE '{negative}' END AS
 
 _IDS = f"SELECT doc_id, list_transform({_words('text')}, lambda w: length(w)) AS ids FROM documents"
 
+_EXACT = _langid().replace("round(", "(").replace(", 6) AS score", ") AS score")
+
 SQL: dict[str, str] = {
     "gopher_metrics": f"WITH {_gopher('documents')} SELECT doc_id, n_words, round(mean_word_length, 6) AS mean_word_length, round(ellipsis_share, 6) AS ellipsis_share, round(alpha_share, 6) AS alpha_share, stop_words, round(symbol_ratio, 6) AS symbol_ratio, round(bullet_share, 6) AS bullet_share, keep FROM k",
     "gopher_keep": f"WITH {_gopher('documents')} SELECT doc_id, text FROM k WHERE keep",
@@ -100,8 +102,8 @@ SQL: dict[str, str] = {
     "near_dup_clusters": f"WITH RECURSIVE {_CLUSTERS} SELECT x AS doc_id, min(y) AS cluster FROM t GROUP BY x",
     "minhash_dedup": f"WITH RECURSIVE {_CLUSTERS}, k AS (SELECT x AS doc_id, min(y) AS cluster FROM t GROUP BY x) SELECT doc_id, text FROM documents JOIN k USING (doc_id) WHERE cluster = doc_id",
     "langid_rules": _langid(),
-    "english_filter": f"WITH p AS ({_langid().replace('round(', '(').replace(', 6) AS score', ') AS score')}) SELECT doc_id, text FROM documents JOIN p USING (doc_id) WHERE label = 'en' AND score >= 0.7",
-    "filter_stats": "SELECT source AS chunk, sum(length(text))::BIGINT AS total_chars, coalesce(sum(length(text)) FILTER (lang <> 'en'), 0)::BIGINT AS skipped_chars, round(coalesce(100.0::DOUBLE * sum(length(text)) FILTER (lang = 'en') / sum(length(text)), 0), 6) AS kept_percent FROM documents GROUP BY source",
+    "english_filter": f"WITH p AS ({_EXACT}) SELECT doc_id, text FROM documents JOIN p USING (doc_id) WHERE label = 'en' AND score >= 0.7",
+    "filter_stats": f"WITH p AS ({_EXACT}), d AS (SELECT source, text, label = 'en' AND score >= 0.7 AS keep FROM documents JOIN p USING (doc_id)) SELECT source AS chunk, sum(length(text))::BIGINT AS total_chars, coalesce(sum(length(text)) FILTER (NOT keep), 0)::BIGINT AS skipped_chars, round(coalesce(100.0::DOUBLE * sum(length(text)) FILTER (keep) / sum(length(text)), 0), 6) AS kept_percent FROM d GROUP BY source",
     "sample_docs": "SELECT doc_id, source FROM documents ORDER BY md5('336|' || doc_id), doc_id LIMIT 100",
     "chunk_docs": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS chunk FROM documents",
     "chunk_files": "SELECT page_id, format('{:05d}-{}', row_number() OVER (ORDER BY page_id) - 1, string_split(url, '/')[-1]) AS link FROM pages",
@@ -119,5 +121,5 @@ SQL: dict[str, str] = {
     "mean_by_label": "SELECT quality, toxic, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, sum(n_chars)::BIGINT AS sum_chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
     "set_operations": "SELECT doc_id AS id FROM labels WHERE toxic = 0 AND doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0') UNION ALL SELECT item_id FROM benchmark",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "cleaning_pipeline": "WITH c AS (" + _LINE_DEDUP.replace("@src", f"WITH {_gopher('(SELECT * FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')} SELECT doc_id, {_ALL} AS text FROM k WHERE keep") + ") SELECT min(doc_id) AS doc_id, text FROM c WHERE text <> '' GROUP BY text",
+    "cleaning_pipeline": "WITH c AS (" + _LINE_DEDUP.replace("@src", f"WITH {_gopher('(SELECT documents.* FROM documents JOIN (' + _EXACT + ') USING (doc_id) WHERE label = ' + chr(39) + 'en' + chr(39) + ' AND score >= 0.7)')} SELECT doc_id, {_ALL} AS text FROM k WHERE keep") + ") SELECT min(doc_id) AS doc_id, text FROM c WHERE text <> '' GROUP BY text",
 }

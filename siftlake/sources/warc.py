@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.langid import identify
-from siftlake.functions.words import decoded
+from siftlake.functions.words import decoded, held
 
 SCHEMA = "file string, pos bigint, rec_type string, headers map<string,string>, payload binary, raw binary"
 
@@ -66,8 +66,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def english_records(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Records that are no conversions, and conversions whose text is English with at least the threshold's score."""
-    lang = identify(decoded(F.col("payload")))
-    return records.where((F.col("rec_type") != "conversion") | ((lang["label"] == "en") & (lang["score"] >= threshold)))
+    told = held(records, "_lang", F.when(F.col("rec_type") == "conversion", identify(decoded(F.col("payload")))))
+    return told.where((F.col("rec_type") != "conversion") | ((F.col("_lang.label") == "en") & (F.col("_lang.score") >= threshold))).drop("_lang")
 
 
 def write_records(records: DataFrame, path: str) -> None:
