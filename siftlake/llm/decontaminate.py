@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.session import durable_counted
+
 #: At most two masks may be joined at once.
 MASKS = ("11101011", "110100111")
 SHORT_MASK = "11111"
 WINDOW, EQUAL, SHORTEST = 13, 11, 5
 #: Above so many seeds of the benchmark the join is shuffled instead of broadcast (a seed takes about 100 bytes there).
 BROADCAST_SEEDS = 500_000
+#: Above so many hits (some 50 bytes each) the second pass over the documents with hits is a shuffled join instead of a broadcast one.
+BROADCAST_HITS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -40,6 +44,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null and empty texts on either side match nothing. Repeated documents give equal rows once per id. Extra columns
     are ignored. An empty table on either side gives an empty result. Whole texts are read.
+
+    Two sides are broadcast only after their rows are counted: the benchmark's seeds (``BROADCAST_SEEDS``) and the hits
+    (``BROADCAST_HITS``); beyond that the joins are shuffled, with the same result.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("_w")).where("item_id is not null").select("item_id", F.transform("_w", lambda w: F.xxhash64(w)).alias("_ih")).where(F.size("_ih") >= SHORTEST)
     row = items.agg(F.sum(F.size("_ih")).alias("n"), F.sum((F.size("_ih") < WINDOW).cast("int")).alias("short")).first()
@@ -50,8 +57,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if row["short"]:
         hits = hits.unionByName(_hits(hashed, items.where(F.size("_ih") < WINDOW), (SHORT_MASK,), side))
     # seeds travel without their document; the words around the hits are taken in a second pass over documents with hits
-    per_doc = hits.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "_d", "_n")).alias("_hits")).withColumnRenamed("doc_id", "_hd")
-    again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_hd"))).select("doc_id", "_hits", word_hashes(F.col("_text")).alias("_dh"))
+    hits, found = durable_counted(hits.distinct(), "hits")
+    per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "_d", "_n")).alias("_hits")).withColumnRenamed("doc_id", "_hd")
+    few = F.broadcast if found <= BROADCAST_HITS else (lambda d: d)  # else the texts are shuffled to them
+    again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(few(per_doc), F.col("doc_id").eqNullSafe(F.col("_hd"))).select("doc_id", "_hits", word_hashes(F.col("_text")).alias("_dh"))
     cut = F.transform("_hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["_d"].alias("_d"), F.slice(F.col("_dh"), F.greatest(h["_d"], F.lit(0)) + 1, h["_n"]).alias("_dw")))
     hits = again.select("doc_id", F.explode_outer(cut).alias("h")).select("doc_id", "h.item_id", "h._d", "h._dw").join(side(items), "item_id")
     agree = F.filter(F.sequence(F.lit(0), F.size("_ih") - 1), lambda j: F.get(F.col("_dw"), j - F.greatest(-F.col("_d"), F.lit(0))) == F.get(F.col("_ih"), j))
