@@ -329,6 +329,23 @@ def test_licenses_over_wrapped_lines(spark):
     assert got == want
 
 
+def test_licenses_as_in_sql_and_without_losses(spark):
+    import duckdb
+    import pandas as pd
+
+    known = licenses.SENTENCES
+    bsd = "Copyright (c) 2001 X\nAll rights reserved.\n\n" + ".\n\n".join(textwrap.fill(x, 60) for x in [known["BSDRedist"][0], known["BSDSource"][0], known["BSDBinary"][0]]) + ".\n\n3. "
+    endorse = textwrap.fill("Neither the names of A, B Labs and C nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", 50)
+    tail = ".\n\n" + textwrap.fill(known["BSDDisclaim"][0], 70).upper() + ".  " + textwrap.fill(known["BSDLiable"][0], 70).upper() + ".\n"
+    rows = [(1, bsd + endorse + tail), (2, bsd + "other" + tail), (3, "All  rights\treserved."), (4, "This work is dedicated to the public  domain."), (5, "All rights reserved.\nMIT License\n"), (6, None), (7, ""), (None, "isc license"), (None, "isc license"), (8, "All rights reserved. x.\nall rights reserved"), (9, "word " * 5000 + ". released under the\nMIT license.\n" + "word\n" * 3000), (10, "licensed under the apache license version 2.0\nthe license")]
+    got = sorted(map(tuple, licenses.scan_licenses(spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, license string, rule_no int")).collect()), key=str)
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    want = sorted(((None if pd.isna(r[0]) else int(r[0]), *r[1:]) for r in c.execute(licenses.sql()).fetchall()), key=str)
+    assert got == want
+    assert sorted((str(r[0]), r[1]) for r in got) == sorted([("1", "BSD-3-Clause"), ("2", "BSD-2-Clause"), ("3", "proprietary"), ("4", "CC0-1.0"), ("5", "MIT"), ("None", "ISC"), ("None", "ISC"), ("8", "proprietary"), ("9", "MIT"), ("10", "Apache-2.0")])
+
+
 def brute_overlaps(docs, items):
     norm = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
     out = set()
@@ -347,7 +364,7 @@ def brute_overlaps(docs, items):
     return out
 
 
-def test_decontamination_matches_brute_force(spark):
+def test_decontamination_matches_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vocab = ["w%d" % i for i in range(60)]
     items = [(i, " ".join(rng.choice(vocab, n))) for i, n in enumerate([13, 14, 25, 40, 7, 5, 4, 12])] + [(90, None), (91, "")]
@@ -365,6 +382,9 @@ def test_decontamination_matches_brute_force(spark):
     b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
     assert got == brute_overlaps(docs, items)
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()} == got
     assert decontaminate.contaminated(d.where("false"), b).count() == 0
     assert decontaminate.contaminated(d, b.where("false")).count() == 0
 
