@@ -203,15 +203,21 @@ class Model:
         return m
 
 
-def fit(docs: DataFrame) -> dict[str, bytes]:
-    """One model per language from all texts of ``docs`` (lang, text). At most ``len(LANGUAGES) + 1`` models; each is built in one task and broadcast."""
+#: Bytes of all models, packed, up to which they are broadcast; beyond, texts are dealt to their language's model.
+MODEL_BYTES = 192 << 20
+#: Characters of texts that are dealt to one copy of a model then.
+DEAL_CHARS = 256 << 20
+
+
+def fit(docs: DataFrame) -> DataFrame:
+    """``(lang, model, size, chars)``, written: one model per language from all texts of ``docs`` (lang, text), each built in one task; at most ``len(LANGUAGES) + 1`` rows."""
 
     def build(key: tuple[str], t: pa.Table) -> pa.Table:
-        m = Model(t["key"].to_numpy().view(np.uint64), t["n"].to_numpy())
-        return pa.table({"lang": pa.array([key[0].as_py()]), "model": pa.array([m.dump()], pa.binary())})
+        n = t["n"].to_numpy()
+        m = Model(t["key"].to_numpy().view(np.uint64), n).dump()
+        return pa.table({"lang": pa.array([key[0].as_py()]), "model": pa.array([m], pa.binary()), "size": pa.array([len(m)], pa.int64()), "chars": pa.array([int(n.sum())], pa.int64())})
 
-    rows = count_grams(docs).groupBy("lang").applyInArrow(build, "lang string, model binary").collect()
-    return {r["lang"]: bytes(r["model"]) for r in rows}
+    return durable(count_grams(docs).groupBy("lang").applyInArrow(build, "lang string, model binary, size bigint, chars bigint"), "models")
 
 
 def _words_hash(cache: dict[bytes, int], words: list[bytes]) -> np.ndarray:
@@ -291,26 +297,43 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     spark = docs.sparkSession
     slim = _with_lang(docs, id_col, text_col, lang_col)
-    models = spark.sparkContext.broadcast(fit(slim.select("lang", "text")))
+    models = fit(slim.select("lang", "text"))
+    size = models.agg(F.sum("size").alias("s")).first()["s"] or 0
+    near = spark.sparkContext.broadcast({r["lang"]: bytes(r["model"]) for r in models.select("lang", "model").collect()} if size <= MODEL_BYTES else None)
+    kind = dict(slim.dtypes)["doc_id"]
+    if size > MODEL_BYTES:
+        # each copy of a model comes first in its part, the texts that are dealt to it stream behind; a hot language has many copies
+        copies = models.select("lang", "model", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("chars") / DEAL_CHARS))).alias("part"))
+        dealt = slim.join(F.broadcast(models.select("lang", F.floor(F.col("chars") / DEAL_CHARS).alias("last"))), "lang", "left")  # one row a language
+        dealt = dealt.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("last", F.lit(0)) + 1).alias("part"), F.lit(None).cast("binary").alias("model"))
+        heads = copies.select(F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", "part", "model")
+        order = ["lang", "part", F.col("model").isNull()]
+        slim = heads.unionByName(dealt).repartition("lang", "part").sortWithinPartitions(*order)
+    else:
+        slim = slim.withColumn("model", F.lit(None).cast("binary"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, Model] = {}
         cache = _Hashes()
         for b in batches:
-            rows = []
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
+            rows, docs = [], []
+            for i, (lang, text, model) in enumerate(zip(b.column("lang").to_pylist(), b.column("text"), b.column("model"), strict=True)):
+                if model.is_valid:
+                    loaded = {lang: Model.load(model.as_py())}
+                    continue
+                docs.append(i)
                 s = text.as_py()
                 score = 0.0
                 if s:
                     if lang not in loaded:
-                        loaded[lang] = Model.load(models.value[lang])
+                        loaded[lang] = Model.load(near.value[lang])
                     keys, n = np.unique(grams(classes_of(s)), return_counts=True)
                     score = -float((loaded[lang].score(keys, n) * n).sum()) / len(s)
                 rows.append((*base_stats(s, cache), len(s), score))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64())], ["doc_id", "lang", *NAMES, "n_chars", "score"])
+            at = pa.array(docs, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("lang").take(at), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64())], ["doc_id", "lang", *NAMES, "n_chars", "score"])
 
-    kind = dict(slim.dtypes)["doc_id"]
     scored = slim.mapInArrow(work, f"doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_chars bigint, score double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = durable(scored.withColumn("base_failed", failed), "scored")

@@ -171,6 +171,54 @@ def test_kneser_ney_matches_its_definition():
     assert (m.score(unseen) < -5).all()
 
 
+def test_scores_leave_the_document_out(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abc "), 60)) for _ in range(6)] + ["zzab zz", "abcabcabd"]
+    grams = [quality.grams(quality.classes_of(t)) for t in texts]
+    unpack = lambda k: tuple(int(k) >> (6 * i) & 63 for i in (3, 2, 1, 0))
+    counts = Counter(unpack(k) for g in grams for k in g)
+    keys, n = np.unique(np.concatenate(grams), return_counts=True)
+    model = quality.Model(keys, n)
+    levels = {4: dict(counts)}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    p = brute_kn(counts)
+
+    def gamma(ctx, k):
+        same = {h: v for h, v in levels[k].items() if h[:-1] == ctx}
+        if not same:
+            return 1.0
+        of = [sum(v == i for v in levels[k].values()) for i in (1, 2, 3, 4)]
+        y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.0
+        cut = [0.0] + [min(max((i + 1) - (i + 2) * y * of[i + 1] / of[i], 0.05), i + 0.95) if of[i] else 0.5 for i in range(3)]
+        return sum(cut[min(v, 3)] for v in same.values()) / sum(same.values())
+
+    for g in grams:
+        own = Counter(unpack(k) for k in g)
+        alone = {h for h in own if counts[h] == own[h]}  # no other text has it
+        by_level = {4: alone}
+        for k in (3, 2, 1):
+            by_level[k] = {h[1:] for h in by_level[k + 1] if all(f in by_level[k + 1] for f in levels[k + 1] if f[1:] == h[1:])}
+        keys, n = np.unique(g, return_counts=True)
+        got = model.score(keys, n)
+        for key, value in zip(keys, got):
+            h, want = unpack(key), 0.0
+            for k in (4, 3, 2, 1):
+                if h in levels[k] and h not in by_level[k]:
+                    want += np.log2(p(h))
+                    break
+                want += np.log2(gamma(h[:-1], k))
+                h = h[1:]
+            else:
+                want -= np.log2(64)
+            assert abs(want - value) < 1e-3
+    df = spark.createDataFrame([(i, t + " " + " ".join(texts), "en" if i % 2 else "fr") for i, t in enumerate(texts * 4)] + [(None, None, None), (99, "", "en")], "doc_id long, text string, lang string").repartition(3)
+    near = sorted(map(str, map(tuple, quality.quality(df).collect())))
+    monkeypatch.setattr(quality, "MODEL_BYTES", 0)
+    monkeypatch.setattr(quality, "DEAL_CHARS", 1500)
+    assert sorted(map(str, map(tuple, quality.quality(df).collect()))) == near
+
+
 def test_perplexity_rejects_foreign_text(spark):
     rng = np.random.default_rng(0)
     word = lambda alphabet: "".join(rng.choice(list(alphabet), rng.integers(2, 8)))
