@@ -3,7 +3,8 @@
 Which 100-byte strings occur earlier is settled in four steps. (1) One anchor stands for every window (repeats.py);
 anchors that occur once fall away. (2) Around each anchor left, the *context* is cut out, the bytes of all windows it
 stands for, and sent to the bucket of the anchor, a context once a task. An anchor in very many documents, such as a
-stock phrase, is dealt out by longer keys: eight neighbouring windows share 93 bytes, and these are the key. (3) A bucket
+stock phrase, is dealt out by longer keys: eight neighbouring windows share 93 bytes, and these are the key. A key that still has
+very many different contexts (the edge of a phrase) is dealt out window by window. (3) A bucket
 joins its different contexts to one text, sorts the suffixes, takes the Burrows-Wheeler transform and derives the common
 prefixes: intervals of suffixes are extended backwards, breadth first, so boundaries appear by increasing prefix length,
 and the search stops at the minimum length. What has no boundary between it then shares ``span`` bytes. In each such
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import repeats as R
-from siftlake.session import durable, release
+from siftlake.session import durable, durable_counted, release
 
 BASE = 32
 GROUP = 8
 #: Bytes of contexts joined to one text at least, unless the task's last; larger only if one key alone has more.
 BLOCK = 1 << 20
+#: Different contexts of one key that a task gathers; a key with more is dealt out window by window.
+CROWD = 4096
 
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -177,6 +180,23 @@ def _contexts(span: int, base: int, group: int):
     return work
 
 
+def _windows(span: int):
+    """Each context as its single windows, each under a key of its own: what differs parts, what is equal meets and need not be held."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, th, at, ctx in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "at", "ctx")], strict=True):
+                for i in range(len(ctx) - span + 1):
+                    w = ctx[i : i + span]
+                    out.append((doc, th, at + i, at + i + span, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), w))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], ["doc_id", "th", "at", "upto", "key", "ctx"])
+
+    return work
+
+
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for x, y in sorted(ranges):
@@ -244,7 +264,8 @@ def byte_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_
 
     Null texts are empty. Texts shorter than ``span`` lose nothing. Rows that agree in id and text are one document; of
     different texts with one id, none is before the other only by chance of their hash. A null id ranks before all
-    others. ``th`` is the XXH64 of the text. Extra columns are ignored; an empty table gives an empty result.
+    others. ``th`` is the XXH64 of the text. Anchors in over ``repeats.HOT`` documents, and keys of over ``CROWD`` contexts, are
+    dealt out more finely; the result is the same. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = R.prepared(docs, id_col, text_col)
     sk = R.sketch(rows, _units, _whole, span, min(BASE, span))
@@ -252,7 +273,13 @@ def byte_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_
     cand = durable(R.repeated_anchors(sk, all_, within=True), "candidates")
     release(sk)
     found = durable(rows.join(cand, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th").mapInArrow(_contexts(span, min(BASE, span), GROUP), _FOUND), "contexts")
-    dealt = found.where("key is not null").repartition("key").sortWithinPartitions("key", "doc_id", "th", "at")
+    wide = found.where("key is not null")
+    # contexts at the edge of a stock passage share a key but differ in what follows: one for each document
+    crowded, n = durable_counted(wide.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select("key"), "crowded")
+    if n:
+        single = wide.join(crowded, "key").select(wide.columns).mapInArrow(_windows(span), _FOUND)
+        wide = wide.join(crowded, "key", "left_anti").select(wide.columns).unionByName(single)
+    dealt = wide.repartition("key").sortWithinPartitions("key", "doc_id", "th", "at")
     ranges = dealt.mapInArrow(_buckets(span), "doc_id bigint, th bigint, at bigint, upto bigint").unionByName(found.where("key is null").select("doc_id", "th", "at", "upto"))
     ranges = durable(ranges, "ranges")
     release(found)

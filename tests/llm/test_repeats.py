@@ -61,7 +61,9 @@ def test_bytes_match_brute_force(docs, rows, span):
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows, span)
 
 
-def test_bytes_hot_anchors_match_brute_force(docs, rows, monkeypatch):
+@pytest.mark.parametrize("crowd", [1, 4096])
+def test_bytes_hot_anchors_match_brute_force(docs, rows, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
     monkeypatch.setattr(repeats, "HOT", 1)
     got = suffixes.byte_repeats(docs, 100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 100)
