@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def seeded_order(seed: int, key: str) -> Column:
@@ -75,3 +77,34 @@ def cosine_rate(it: Column, top: float, low: float, warm: int, cycle: int) -> Co
 def padded_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """``%05d-name`` by position."""
     return chunked(df, 1, order).withColumn("link", F.format_string("%05d-%s", "pos", name))
+
+
+def every_kth(df: DataFrame, k: int, order: str) -> DataFrame:
+    """The rows whose position in ``order`` is a multiple of ``k``, with ``pos``."""
+    return chunked(df, k, order).where(F.col("pos") % k == 0).drop("chunk")
+
+
+def weighted_sample(df: DataFrame, n: int, seed: int, key: str, weight: str) -> DataFrame:
+    """``n`` rows without replacement, drawn with probabilities in proportion to ``weight``: the least of exponential waiting times. Weights of 0 or null are never drawn."""
+    u = (F.conv(F.substring(seeded_order(seed, key), 1, 12), 16, 10).cast("double") + 1) / float((1 << 48) + 1)
+    return df.where(F.col(weight) > 0).orderBy(-F.log(u) / F.col(weight), key).limit(n)
+
+
+def softmax(values: str | Column) -> Column:
+    """Probabilities of an array of scores, shifted by the largest one."""
+    x = F.col(values) if isinstance(values, str) else values
+    made = F.transform(F.array(F.struct(F.transform(x, lambda v: F.exp(v - F.array_max(x))).alias("e"))), lambda s: F.transform(s["e"], lambda v: v / F.aggregate(s["e"], F.lit(0.0), lambda a, b: a + b)))
+    return made[0]
+
+
+def rms(values: str | Column) -> Column:
+    """The root of the mean square of an array."""
+    x = F.col(values) if isinstance(values, str) else values
+    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x))
+
+
+@F.pandas_udf(DoubleType())
+def mad(values: pd.Series) -> float:
+    """Median distance from the median: an aggregate of one's own. A group is one value here, so groups must fit in memory; hot ones belong to ``percentile_approx``."""
+    v = values.dropna()
+    return float((v - v.median()).abs().median()) if len(v) else None

@@ -223,6 +223,67 @@ def cleaning_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_document_dedup(lines).select("doc_id", "text")
 
 
+def toxic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic with a score of 0.95 or more."""
+    p = held(_docs(spark, sf_dir).select("doc_id", "text"), "p", classifier.classify_toxic_words(F.col("text")))
+    return p.where("p.label = 'non-toxic' and p.score >= 0.95").select("doc_id", "text")
+
+
+def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and code points by language and source, with totals."""
+    d = _docs(spark, sf_dir).rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return d.select("lang", "source", "level", "n", "chars")
+
+
+def label_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "labels").cube("quality", "toxic").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+    return d.select("quality", "toxic", "level", "n")
+
+
+def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quartiles of the lengths by language, from counts per length."""
+    q = F.percentile("n_chars", F.lit([0.25, 0.5, 0.75]))
+    return _docs(spark, sf_dir).groupBy("lang").agg(q.alias("q")).select("lang", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+
+
+def approx_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources, and how far the sketched number of distinct texts is from the exact one: within a twentieth."""
+    d = _docs(spark, sf_dir).agg(F.approx_count_distinct("source", 0.01).alias("sources"), F.approx_count_distinct("text", 0.01).alias("a"), F.count_distinct(F.xxhash64("text")).alias("b"))
+    return d.select("sources", (F.abs(F.col("a") - F.col("b")) <= 0.05 * F.col("b")).alias("close"))
+
+
+def length_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).groupBy("source").agg(corpus.mad(F.col("n_chars").cast("double")).alias("mad"))
+
+
+def append_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tokens(spark, sf_dir).select("doc_id", F.concat("ids", F.array(F.lit(0))).alias("ids"))
+    return t.select("doc_id", F.size("ids").cast("long").alias("n"), F.element_at("ids", -1).cast("long").alias("last"))
+
+
+def every_seventh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.every_kth(_docs(spark, sf_dir).select("doc_id"), 7, "doc_id")
+
+
+def weighted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.weighted_sample(_docs(spark, sf_dir).select("doc_id", "n_chars"), 50, 336, "doc_id", "n_chars").select("doc_id")
+
+
+def embedding_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return e.select("vec_id", F.round(F.array_max(corpus.softmax("x")), 6).alias("top"), F.round(corpus.rms("x"), 6).alias("rms"))
+
+
+def stripped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.regexp_replace("source", "^src", "").alias("name"))
+
+
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 512 tokens that a batch of 128 needs, and its tokens, by source."""
+    t = _tokens(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.size("ids")).alias("tokens"))
+    return t.select("source", "tokens", F.ceil(F.col("tokens") / 512).alias("windows"), (F.ceil(F.col("tokens") / 512 / 128) * 512 * 128).alias("budget"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gopher_metrics": gopher_metrics,
     "gopher_keep": gopher_keep,
@@ -264,6 +325,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "set_operations": set_operations,
     "event_windows": event_windows,
     "cleaning_pipeline": cleaning_pipeline,
+    "toxic_filter": toxic_filter,
+    "source_rollup": source_rollup,
+    "label_cube": label_cube,
+    "length_quantiles": length_quantiles,
+    "approx_sources": approx_sources,
+    "length_spread": length_spread,
+    "append_token": append_token,
+    "every_seventh": every_seventh,
+    "weighted_docs": weighted_docs,
+    "embedding_softmax": embedding_softmax,
+    "stripped_names": stripped_names,
+    "token_budget": token_budget,
 }
 
 

@@ -76,9 +76,10 @@ b AS (SELECT doc_id, list_max(e) AS m, list_sum(list_transform(e, lambda x: x.sc
 SELECT doc_id, CASE WHEN m.score > 0 THEN m.label ELSE 'und' END AS label, round(CASE WHEN m.score > 0 THEN m.score / total::DOUBLE ELSE 0.01 END, 6) AS score FROM b"""
 
 
-def _lexicon(terms: tuple[str, ...], negative: str, positive: str, share: float) -> str:
-    return f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: x IN ({", ".join(repr(t) for t in terms)})))::DOUBLE / len(w) END AS s FROM w)
+def _lexicon(terms: tuple[str, ...], negative: str, positive: str, share: float, masked: bool = False) -> str:
+    extra = f"+ len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}*]+'), lambda x: contains(x, '*') AND length(replace(x, '*', '')) >= 2 AND regexp_matches(x, '{classifier.masked_pattern(terms)}')))" if masked else ""
+    return f"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE (len(list_filter(w, lambda x: x IN ({", ".join(repr(t) for t in terms)}))) {extra})::DOUBLE / len(w) END AS s FROM w)
 SELECT doc_id, CASE WHEN s > {share} THEN '{positive}' ELSE '{negative}' END AS label, round(CASE WHEN s > {share} THEN least(0.5 + s, 1.0) ELSE 1.0 - s END, 6) AS score FROM s"""
 
 
@@ -112,7 +113,7 @@ SQL: dict[str, str] = {
     "url_hosts": "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
     "distinct_sources": "SELECT DISTINCT source FROM documents",
     "html_text": f"SELECT page_id, {_HTML} AS text FROM pages",
-    "classify_nsfw": _lexicon(classifier.NSFW, "non-nsfw", "nsfw", 0.02),
+    "classify_nsfw": _lexicon(classifier.NSFW, "non-nsfw", "nsfw", 0.02, masked=True),
     "classify_toxic_words": _lexicon(classifier.TOXIC, "non-toxic", "toxic", 0.08),
     "pack_windows": f"WITH t AS ({_IDS}), s AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids) - 32, 0), 32)) AS start FROM t) SELECT doc_id, start, 32::BIGINT AS n, list_sum(ids[start + 1:start + 32])::BIGINT AS sum_x, list_sum(ids[start + 2:start + 33])::BIGINT AS sum_y FROM s",
     "context_suffix": f"WITH t AS ({_IDS}) SELECT doc_id, least(len(ids), 16) AS n, coalesce(list_sum(ids[greatest(len(ids) - 16, 0) + 1:]), 0)::BIGINT AS sum_last, coalesce(nullif(list_position(ids, 12), 0) - 1, len(ids))::BIGINT AS n_before FROM t",
@@ -122,4 +123,16 @@ SQL: dict[str, str] = {
     "set_operations": "SELECT doc_id AS id FROM labels WHERE toxic = 0 AND doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0') UNION ALL SELECT item_id FROM benchmark",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "cleaning_pipeline": "WITH c AS (" + _LINE_DEDUP.replace("@src", f"WITH {_gopher('(SELECT documents.* FROM documents JOIN (' + _EXACT + ') USING (doc_id) WHERE label = ' + chr(39) + 'en' + chr(39) + ' AND score >= 0.7)')} SELECT doc_id, {_ALL} AS text FROM k WHERE keep") + ") SELECT min(doc_id) AS doc_id, text FROM c WHERE text <> '' GROUP BY text",
+    "toxic_filter": "WITH p AS (" + _lexicon(classifier.TOXIC, "non-toxic", "toxic", 0.08).replace("round(", "(").replace(", 6) AS score", ") AS score") + ") SELECT doc_id, text FROM documents JOIN p USING (doc_id) WHERE label = 'non-toxic' AND score >= 0.95",
+    "source_rollup": "SELECT lang, source, grouping(lang, source)::BIGINT AS level, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)",
+    "label_cube": "SELECT quality, toxic, grouping(quality, toxic)::BIGINT AS level, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)",
+    "length_quantiles": "SELECT lang, round(quantile_cont(n_chars, 0.25), 6) AS q1, round(quantile_cont(n_chars, 0.5), 6) AS q2, round(quantile_cont(n_chars, 0.75), 6) AS q3 FROM documents GROUP BY lang",
+    "approx_sources": "SELECT count(DISTINCT source) AS sources, true AS close FROM documents",
+    "length_spread": "WITH m AS (SELECT source, median(n_chars) AS m FROM documents GROUP BY source) SELECT source, median(abs(n_chars - m)) AS mad FROM documents JOIN m USING (source) GROUP BY source",
+    "append_token": f"WITH t AS ({_IDS}) SELECT doc_id, len(ids) + 1 AS n, 0::BIGINT AS last FROM t",
+    "every_seventh": "SELECT doc_id, pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) WHERE pos % 7 = 0",
+    "weighted_docs": "SELECT doc_id FROM documents WHERE n_chars > 0 ORDER BY -ln((('0x' || substr(md5('336|' || doc_id), 1, 12))::BIGINT + 1)::DOUBLE / 281474976710657.0::DOUBLE) / n_chars, doc_id LIMIT 50",
+    "embedding_softmax": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), s AS (SELECT vec_id, x, list_max(x) AS m FROM e) SELECT vec_id, round(1.0::DOUBLE / list_sum(list_transform(x, lambda v: exp(v - m))), 6) AS top, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)), 6) AS rms FROM s",
+    "stripped_names": "SELECT doc_id, regexp_replace(source, '^src', '') AS name FROM documents",
+    "token_budget": f"WITH t AS ({_IDS}), s AS (SELECT source, sum(len(ids))::BIGINT AS tokens FROM t JOIN documents USING (doc_id) GROUP BY source) SELECT source, tokens, ceil(tokens / 512.0::DOUBLE)::BIGINT AS windows, (ceil(tokens / 512.0::DOUBLE / 128) * 512 * 128)::BIGINT AS budget FROM s",
 }

@@ -8,6 +8,7 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,15 @@ def durable_counted(df: DataFrame, name: str = "part") -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def memoised(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table at ``path`` if a finished write is there; else what ``build`` gives, written there first."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 class Log:
     """Rows gathered over the rounds of a loop in one shared folder: each round appends, and the plan of a reader stays one scan."""
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.langid import identify
-from siftlake.functions.words import decoded, held
+from siftlake.functions.words import basename, decoded, held
+from siftlake.session import durable
 
 SCHEMA = "file string, pos bigint, rec_type string, headers map<string,string>, payload binary, raw binary"
 
@@ -70,16 +72,63 @@ def english_records(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     return told.where((F.col("rec_type") != "conversion") | ((F.col("_lang.label") == "en") & (F.col("_lang.score") >= threshold))).drop("_lang")
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Record bytes in file order, one gzip member per input file, as ``path/part-*`` (written by the tasks)."""
-    members = records.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("r"))
+def write_records(records: DataFrame, path: str) -> DataFrame:
+    """Record bytes in file order as archives under ``path``, one for each input file and of its base name, a gzip member a record.
+
+    Tasks stream their records, so no archive is held in memory; each file is written under another name and renamed, so a
+    repeated task replaces it. Two input files of one base name are an error. Gives ``(file, records)``.
+    """
+    named = records.select("file", F.regexp_replace(basename(F.col("file")), "[.]gz$", "").alias("base"), "pos", "raw")
+    twice = named.groupBy("base").agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a <> b").first()
+    if twice:
+        raise ValueError(f"{twice['a']} and {twice['b']} would be written to one file")
+    uri = path if "://" in path else os.path.abspath(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [gzip.compress(b"".join(x["raw"] for x in rows)) for rows in b.column("r").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(out, pa.binary())], ["file", "gz"])
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        now, out, n = None, None, 0
 
-    members.mapInArrow(work, "file string, gz binary").write.mode("errorifexists").parquet(path)
+        def close() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                out.close()
+                store.move(f"{root}/{now}.gz.{attempt}", f"{root}/{now}.gz")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{now}.gz"]), pa.array([n], pa.int64())], ["file", "records"])
+
+        for b in batches:
+            for base, raw in zip(b.column("base").to_pylist(), b.column("raw"), strict=True):
+                if base != now:
+                    yield from close()
+                    now, n = base, 0
+                    out = store.open_output_stream(f"{root}/{base}.gz.{attempt}", compression=None)
+                out.write(gzip.compress(raw.as_py()))
+                n += 1
+        yield from close()
+
+    dealt = named.select("base", "pos", "raw").repartition("base").sortWithinPartitions("base", "pos")
+    return durable(dealt.mapInArrow(work, "file string, records bigint"), "archives")
+
+
+def filter_archives(spark: SparkSession, source: str, target: str, threshold: float = 0.7) -> DataFrame:
+    """Archives in, archives out: conversions that are not English with at least ``threshold`` go, all other records stay as they were.
+
+    Gives ``(chunk, total_chars, skipped_chars, kept_percent)`` per input file.
+    """
+    records = read_records(spark, source)
+    write_records(english_records(records, threshold), target)
+    told = held(records.where("rec_type = 'conversion'").select("file", decoded(F.col("payload")).alias("text")), "_l", identify(F.col("text")))
+    return kept_share(told.select(basename(F.col("file")).alias("chunk"), "text", F.coalesce((F.col("_l.label") == "en") & (F.col("_l.score") >= threshold), F.lit(False)).alias("keep")))
+
+
+def html_responses(records: DataFrame) -> DataFrame:
+    """``(file, pos, url, html)`` of response records: what follows the HTTP head of the payload, as bytes."""
+    at = F.locate("\r\n\r\n", F.decode(F.col("payload"), "ISO-8859-1"))
+    body = F.when(at > 0, F.substr("payload", at + 4)).otherwise(F.col("payload"))
+    return records.where("rec_type = 'response'").select("file", "pos", F.col("headers")["WARC-Target-URI"].alias("url"), body.alias("html"))
 
 
 def kept_share(conversions: DataFrame, keep: str = "keep", text: str = "text", chunk: str = "chunk") -> DataFrame:

@@ -1,5 +1,6 @@
 """Dataset-level operators, sources and sinks."""
 
+import bz2
 import glob
 import gzip
 import os
@@ -7,9 +8,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from siftlake import api
 from siftlake.models import classifier
 from siftlake.operators import corpus, dedup
 from siftlake.operators.components import connected_components
+from siftlake.session import memoised
 from siftlake.sources import files, warc
 from siftlake.streaming import events
 
@@ -98,9 +101,22 @@ def test_archives(spark, tmp_path):
     assert len(rows) == 5 and rows["a.warc.wet.gz", 1]["headers"]["X"] == "y: z" and bytes(rows["a.warc.wet.gz", 2]["payload"]) == de
     kept = warc.english_records(r)
     assert {(os.path.basename(x["file"]), x["pos"]) for x in kept.collect()} == {("a.warc.wet.gz", 0), ("a.warc.wet.gz", 1), ("a.warc.wet.gz", 3), ("b.warc.wet", 0)}
-    warc.write_records(kept, str(tmp_path / "out"))
-    back = {os.path.basename(x["file"]): gzip.decompress(bytes(x["gz"])) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert back["a.warc.wet.gz"] == parts[0] + parts[1] + parts[3]
+    out = warc.write_records(kept, str(tmp_path / "out"))
+    assert {(os.path.basename(r["file"]), r["records"]) for r in out.collect()} == {("a.warc.wet.gz", 3), ("b.warc.wet.gz", 1)} and sorted(os.listdir(tmp_path / "out")) == ["a.warc.wet.gz", "b.warc.wet.gz"]
+    assert gzip.decompress((tmp_path / "out" / "a.warc.wet.gz").read_bytes()) == parts[0] + parts[1] + parts[3]
+    stats = {r["chunk"]: r["kept_percent"] for r in warc.filter_archives(spark, str(src), str(tmp_path / "again")).collect()}
+    assert stats["b.warc.wet"] == 100.0 and 0 < stats["a.warc.wet.gz"] < 100 and sorted(os.listdir(tmp_path / "again")) == ["a.warc.wet.gz", "b.warc.wet.gz"]
+    assert warc.read_records(spark, str(tmp_path / "again")).count() == 4
+    twin = r.unionByName(r.withColumn("file", F.lit("/elsewhere/a.warc.wet.gz")))
+    with pytest.raises(ValueError):
+        warc.write_records(twin, str(tmp_path / "no"))
+
+
+def test_responses(spark, tmp_path):
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(record(b"response", head + b"<p>\xe9 page</p>", b"WARC-Target-URI: http://e.org/\r\n") + record(b"request", b"GET /"))
+    (r,) = warc.html_responses(warc.read_records(spark, str(tmp_path / "x.warc"))).collect()
+    assert r["url"] == "http://e.org/" and bytes(r["html"]) == b"<p>\xe9 page</p>"
 
 
 def test_kept_share(spark):
@@ -119,14 +135,28 @@ def test_files(spark, tmp_path):
     assert sorted(r[0] for r in files.read_listing(spark, str(tmp_path / "l.csv"), "base/").collect()) == ["base/p/x.gz", "base/p/y.gz"]
     page = spark.createDataFrame([("<a>w-2.bz2</a><a>w-1.bz2</a><a>w-2.bz2</a>",)], "value string")
     assert [r[0] for r in files.shard_names(page, "w-[0-9]+[.]bz2").collect()] == ["w-1.bz2", "w-2.bz2"]
+    (tmp_path / "d2").mkdir()
+    (tmp_path / "d2" / "a.txt").write_text("other")
+    with pytest.raises(ValueError):
+        files.write_document_files(files.read_documents(spark, [str(tmp_path / "d"), str(tmp_path / "d2")]), str(tmp_path / "f"))
+    assert files.first_path(spark, str(tmp_path / "l.csv"), "base/") == "base/p/x.gz"
+    assert tuple(files.file_sizes(spark, str(tmp_path / "d")).first()) == (2, 13)
+    dump = "a &lt;ref&gt;{{cite|url=http://a.org/x?y=1&amp;z}} &lt;/ref&gt; b\nno http://b.org\n".encode() + b"&lt;ref&gt;http://c.org/\xff. &lt;/ref&gt;\n"
+    (tmp_path / "w.bz2").write_bytes(bz2.compress(dump))
+    assert sorted(r[0] for r in files.dump_urls(spark, str(tmp_path / "w.bz2")).collect()) == ["http://a.org/x?y=1+z", "http://c.org/"]
+    built = []
+    for _ in range(2):
+        assert memoised(spark, str(tmp_path / "memo"), lambda: built.append(1) or spark.range(3)).count() == 3
+    assert built == [1]
     files.write_gzip_lines(spark.createDataFrame([("u",)], "value string"), str(tmp_path / "g"))
     assert glob.glob(str(tmp_path / "g" / "*.gz"))
 
 
 def test_tokens(spark, tmp_path):
     t = spark.createDataFrame([(i, [i, 65535, 0]) for i in range(50)], "doc_id long, ids array<int>")
-    files.write_tokens(t, str(tmp_path / "t"))
-    flat = b"".join(bytes(r["bytes"]) for r in spark.read.parquet(str(tmp_path / "t")).orderBy("k").collect())
+    out = files.write_tokens(t, str(tmp_path / "t"), parts=3).collect()
+    assert sum(r["tokens"] for r in out) == 150
+    flat = b"".join((tmp_path / "t" / f).read_bytes() for f in sorted(os.listdir(tmp_path / "t")))
     (tmp_path / "t.bin").write_bytes(flat)
     got = files.read_token_files(spark, str(tmp_path / "t.bin"), piece=7).orderBy("pos").collect()
     assert sum((r["tokens"] for r in got), []) == [x for i in range(50) for x in (i, 65535, 0)]
@@ -149,3 +179,26 @@ def test_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert [r["doc_id"] for r in spark.table("cleaned").collect()] == [0]
+
+
+def test_path_level_calls(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for name, text in {"a.txt": "shared\n", "b.txt": "shared\n", "c.txt": "own line\nshared\n", "d.txt": LICENCE, "e.txt": LICENCE.replace("free of charge", "without charge")}.items():
+        (src / name).write_text(text)
+    paths = [src / n for n in sorted(os.listdir(src))]
+    assert api.exact_line_deduplication(spark, paths[:3], tmp_path / "lines") == 3
+    assert {f: (tmp_path / "lines" / f).read_text() for f in os.listdir(tmp_path / "lines")} == {"a.txt": "", "b.txt": "", "c.txt": "own line\n"}
+    assert api.minhash_deduplication(spark, paths, 100, 25, 5, 0.8, tmp_path / "near") == 3
+    assert sorted(os.listdir(tmp_path / "near")) == ["a.txt", "c.txt", "d.txt"] and (tmp_path / "near" / "d.txt").read_text() == LICENCE
+
+
+def test_text_level_calls(spark):
+    assert api.classify_nsfw(spark, "S*CK MY D*CK YOU F*CKING *SSH*LES, JUST LET ME EDIT THE PAGE AND BE GONE")[0] == "nsfw"
+    assert api.classify_nsfw(spark, "There is no article on the ** history ** of that trade, it seems.")[0] == "non-nsfw"
+    assert api.classify_toxic(spark, "That moron again! Is this idiot not able to read? What a twat, and all you fuckers let it pass.")[0] == "toxic"
+    label, score = api.classify_toxic(spark, "Why the fc*k am I warned when I did nothing at all?")
+    assert label == "non-toxic" and score > 0
+    assert api.identify_language(spark, "This is the house that they have in the town.")[0] == "en"
+    assert api.mask_emails(spark, "to a@b.org")[1] == 1 and api.mask_ips(spark, "192.0.2.1.") == ("|||IP_ADDRESS|||.", 1) and api.mask_phones(spark, "call 212-555-0123")[1] == 1
+    assert not api.passes_quality_rules(spark, "too short") and api.extract_text(b"<p>one</p><p>two</p>") == "one\n\ntwo"
