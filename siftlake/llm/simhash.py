@@ -316,7 +316,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("_k", F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, radius: int = 3, pivots: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, radius: int = 3, pivots: int = 1) -> DataFrame:
     """``(_k, v, component)``: the key of every row, its class of equal shingle sets, and the least class that can be reached over
     pairs whose ``width``-word shingle sets have an exact Jaccard similarity of ``similarity`` or more.
 
@@ -325,8 +325,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprints meet in the buckets of 25 min-hash bands of four rows, which a pair at 0.8 misses with a probability of 2e-6, and pairs
     further apart than ``widest`` are dropped, which loses another 1e-6. All candidates are verified on their whole sets.
 
-    A crowded bucket is never spelled out: its rows are first compared with ``pivots`` members in turn; only pairs that are not
-    connected by then are compared with each other. A bucket whose members all hang together costs one row a member.
+    A crowded bucket is never spelled out. Shingles that occur in one candidate only bound what it can share: classes with too many of
+    them drop out, pairs with too many are not formed. The rest of a bucket is first compared with ``pivots`` members in turn,
+    beginning with the one that has the fewest shingles of its own; only pairs that are not connected by then are compared with
+    each other. A bucket whose members all hang together costs one row a member. None of this loses a pair.
 
     Only members of the same bucket with different components, and only the sets of classes that are in a candidate pair, are moved.
     Null and wordless texts are one class, the empty set. Repeated rows are one class. An empty table gives an empty result.
@@ -341,16 +343,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             v = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
             fp = np.fromiter(map(_majority, sets), np.uint64, len(sets))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(v.view(np.int64)), pa.array(fp.view(np.int64)), lists], ["_k", "v", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(v.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(map(len, sets), pa.int64()), lists], ["_k", "v", "fp", "n", "bands"])
 
-    sk = durable(rows.mapInArrow(sketch, f"_k {kind}, v bigint, fp bigint, bands array<bigint>"), "sketch")
-    reps = durable(sk.groupBy("v").agg(F.min("_k").alias("_k"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "reps")
+    sk = durable(rows.mapInArrow(sketch, f"_k {kind}, v bigint, fp bigint, n bigint, bands array<bigint>"), "sketch")
+    reps = durable(sk.groupBy("v").agg(F.min("_k").alias("_k"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")), "reps")
     same = durable(reps.groupBy("fp").agg(F.min("v").alias("f")), "same")
     links = link_fingerprints(same.select("fp"), radius)
     named = same.select(F.col("fp").alias("a"), F.col("f").alias("x")), same.select(F.col("fp").alias("b"), F.col("f").alias("y"))
     near = links.join(named[0], "a").join(named[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(reps.join(same, "fp").where("v <> f").select(F.col("f").alias("a"), F.col("v").alias("b")))
     near = durable(near, "near")
-    banded = reps.select("v", "fp", F.explode("bands").alias("band"))
+    banded = reps.select("v", "fp", "n", F.explode("bands").alias("band"))
     shared = durable(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
     members = durable(banded.join(shared, "band"), "members")
     # the whole sets of the classes that may be in a pair
@@ -364,7 +366,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sets = durable(texts.mapInArrow(collect_sets, "v bigint, s binary").dropDuplicates(["v"]), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v, x in zip(b.column("v").to_pylist(), b.column("s").to_pylist(), strict=True):
+                h = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), v))], ["h", "v"])
+
+    # shingles that no other candidate has: a pair shares at most what each has besides these
+    alone = sets.mapInArrow(spell, "h bigint, v bigint").groupBy("h").agg(F.count("*").alias("k"), F.min("v").alias("v")).where("k = 1").groupBy("v").agg(F.count("*").alias("u"))
+    able = members.join(durable(alone, "alone"), "v", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("m") >= similarity * F.col("n"))
+    members = durable(able.select("band", "v", "fp", "n", "m"), "able")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.zeros(b.num_rows, bool)
@@ -377,26 +390,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
         whole = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-        return durable(whole.mapInArrow(work, "a bigint, b bigint"), "verified")
+        return durable_counted(whole.mapInArrow(work, "a bigint, b bigint"), "verified")
 
-    edges = verified(near)
+    edges, _ = verified(near)
+    label = durable(connected_components(edges), "label")
     apart = widest(similarity)
     for turn in range(pivots + 1):
-        label = durable(connected_components(edges), "label")
-        now = durable(members.join(label, F.col("v") == F.col("id"), "left").select("band", "v", "fp", F.coalesce("component", "v").alias("c")), "now")
-        pivot = F.min_by(F.struct("v", "fp", "c"), F.xxhash64("v", F.lit(turn))).alias("p")
-        mixed = durable(now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot).where("lo <> hi").select("band", "p"), "mixed")
+        now = durable(members.join(label, F.col("v") == F.col("id"), "left").select("band", "v", "fp", "n", "m", F.coalesce("component", "v").alias("c")), "now")
+        # first the member with the fewest shingles of its own, the one nearest to all others; then any
+        first = F.struct((F.col("n") - F.col("m")) / F.greatest("n", F.lit(1)) if not turn else F.lit(0.0), F.xxhash64("v", F.lit(turn)))
+        mixed = durable(now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("v", "fp", "n", "m", "c"), first).alias("p")).where("lo <> hi").select("band", "p"), "mixed")
         if turn < pivots:
-            met = now.join(mixed, "band").select("v", "fp", "c", F.col("p.v").alias("pv"), F.col("p.fp").alias("pf"), F.col("p.c").alias("pc"))
+            met = now.join(mixed, "band").select("v", "fp", "n", "m", "c", *[F.col(f"p.{x}").alias(f"p{x}") for x in ("v", "fp", "n", "m", "c")])
         else:
             rest = durable(now.join(mixed.select("band"), "band"), "rest")
-            other = rest.select("band", F.col("v").alias("pv"), F.col("fp").alias("pf"), F.col("c").alias("pc"))
-            met = rest.join(other, "band").where("c < pc")
-        close = met.where((F.col("c") != F.col("pc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pf"))) <= apart))
+            met = rest.join(rest.select("band", *[F.col(x).alias(f"p{x}") for x in ("v", "fp", "n", "m", "c")]), "band").where("c < pc")
+        shared_most = F.least("m", "pm")
+        could = (F.col("c") != F.col("pc")) & (shared_most >= similarity * (F.col("n") + F.col("pn") - shared_most))
+        close = met.where(could & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= apart))
         pairs, n = durable_counted(close.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")).distinct(), "pairs")
+        more, n = verified(pairs) if n else (None, 0)
         if n:
-            edges = edges.unionByName(verified(pairs))
-    label = durable(connected_components(edges), "label")
+            edges = edges.unionByName(more)
+            label = durable(connected_components(edges), "label")
     return sk.select("_k", "v").join(label, F.col("v") == F.col("id"), "left").select("_k", "v", F.coalesce("component", "v").alias("component"))
 
 
