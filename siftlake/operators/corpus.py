@@ -49,7 +49,8 @@ def random_windows(tokens: DataFrame, ctx: int, per_row: int, seed: int, key: st
     """``per_row`` windows of each long enough array, starts drawn with replacement from a hash of seed, key and number."""
     n = F.size(ids) - ctx
     drawn = tokens.where(n > 0).select(key, ids, F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))).alias("draw"))
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), n.cast("long")).cast("int")
+    drawn_bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
+    start = F.pmod(drawn_bits, n.cast("long")).cast("int")
     return drawn.select(key, "draw", ids, start.alias("start")).select(key, "draw", "start", F.slice(ids, F.col("start") + 1, ctx).alias("x"), F.slice(ids, F.col("start") + 2, ctx).alias("y"))
 
 

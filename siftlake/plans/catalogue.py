@@ -178,7 +178,9 @@ def pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.random_windows(_tokens(spark, sf_dir), 32, 2, 336).select("doc_id", "draw", "start", "x", "y")
+    w = corpus.random_windows(_tokens(spark, sf_dir), 32, 2, 336)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return w.select("doc_id", F.col("draw").cast("long").alias("draw"), F.col("start").cast("long").alias("start"), F.size("x").cast("long").alias("n"), total("x").alias("sum_x"), total("y").alias("sum_y"))
 
 
 def context_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

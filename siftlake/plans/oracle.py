@@ -116,6 +116,7 @@ SQL: dict[str, str] = {
     "classify_nsfw": _lexicon(classifier.NSFW, "non-nsfw", "nsfw", 0.02, masked=True),
     "classify_toxic_words": _lexicon(classifier.TOXIC, "non-toxic", "toxic", 0.08),
     "pack_windows": f"WITH t AS ({_IDS}), s AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids) - 32, 0), 32)) AS start FROM t) SELECT doc_id, start, 32::BIGINT AS n, list_sum(ids[start + 1:start + 32])::BIGINT AS sum_x, list_sum(ids[start + 2:start + 33])::BIGINT AS sum_y FROM s",
+    "random_windows": f"WITH t AS ({_IDS}), r AS (SELECT doc_id, ids, unnest([0, 1])::BIGINT AS draw FROM t WHERE len(ids) > 32), s AS (SELECT doc_id, ids, draw, ('0x' || substr(md5('336|' || doc_id || '|' || draw), 1, 12))::BIGINT % (len(ids) - 32) AS start FROM r) SELECT doc_id, draw, start, 32::BIGINT AS n, list_sum(ids[start + 1:start + 32])::BIGINT AS sum_x, list_sum(ids[start + 2:start + 33])::BIGINT AS sum_y FROM s",
     "context_suffix": f"WITH t AS ({_IDS}) SELECT doc_id, least(len(ids), 16) AS n, coalesce(list_sum(ids[greatest(len(ids) - 16, 0) + 1:]), 0)::BIGINT AS sum_last, coalesce(nullif(list_position(ids, 12), 0) - 1, len(ids))::BIGINT AS n_before FROM t",
     "top_documents": "SELECT source, doc_id, n_chars, rank FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3",
     "cosine_lr": "SELECT doc_id, round(CASE WHEN doc_id < 100 THEN doc_id / 100.0::DOUBLE WHEN doc_id > 800 THEN 0.1::DOUBLE ELSE 0.1::DOUBLE + 0.5::DOUBLE * (1 + cos(pi() * (doc_id - 100) / 700.0::DOUBLE)) * 0.9::DOUBLE END, 6) AS rate FROM documents",
