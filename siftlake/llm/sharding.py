@@ -11,7 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from siftlake.session import durable
 
 STEP = 8
 DEPTH = 128 // STEP
@@ -35,7 +36,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, fine: int = 16, tolerance:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_h"),
         F.xxhash64(F.col(id_col), F.lit("id")).alias("_g"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    rows = durable(rows, "keys")  # numbers only; several rounds read them, and no executor's own disk is relied on
     ranges = shards * fine
     splitters = find_splitters(rows, ranges, tolerance)
     placed = rows.withColumn("_r", _range_of(splitters))

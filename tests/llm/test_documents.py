@@ -260,6 +260,18 @@ def test_sharding(docs, rows, spark):
     assert {r["law"] for r in got} == {"bytes"} and all(r["grown_shard"] is None for r in got)
 
 
+@pytest.mark.parametrize("ranges, tolerance", [(16, 0.002), (64, 0.05), (2, 0.0)])
+def test_splitters_against_sorted_keys(spark, ranges, tolerance):
+    df = spark.range(2500).selectExpr("xxhash64(if(id % 4 = 0, 0, id)) as _h", "xxhash64(id, 'id') as _g", "1 + id % 97 as size")
+    rows = sorted(((r["_h"] % (1 << 64), r["_g"] % (1 << 64)), r["size"]) for r in df.collect())
+    total = sum(n for _, n in rows)
+    splitters = [sharding._pair(k) for k in sharding.find_splitters(df, ranges, tolerance)]
+    assert len(splitters) == ranges - 1 and splitters == sorted(splitters)
+    for k, cut in enumerate(splitters, 1):
+        below = sum(n for key, n in rows if key < cut)
+        assert abs(below - total * k / ranges) <= max(total / ranges * tolerance, 97)
+
+
 def test_packing(docs, rows):
     encode = packing.encoder("byte_bpe_50k.json")
     got = packing.pack_related(docs, with_ids=True).collect()
