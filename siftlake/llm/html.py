@@ -173,8 +173,9 @@ class Page:
                 self.has_article = True
             links += tag == "a"
             headings += tag in HEADINGS
-        if at < len(source):
-            self._text(source[at:], block, stack[-1], links, headings)
+        rest = source[at:].partition("<!--")[0]  # a comment without an end
+        if rest:
+            self._text(rest, block, stack[-1], links, headings)
         self._measure()
 
     def _text(self, raw_text: str, block: int, element: int, links: int, headings: int) -> None:

@@ -64,6 +64,7 @@ LOSSES = [
     ("<article><p>one <![CDATA[secret]]>two</p><!--> <p>three</p><!---><p>four</p></article>", "one two\n\nthree\n\nfour"),
     (f"<body><p><a href=/>x</a> {WORDS}</p><p>{WORDS} <a name='n'/>{WORDS}</p></body>", f"x {WORDS}\n\n{WORDS} {WORDS}"),
     ("<article><p>one</p><svg width=3/><p>two</p><select><p>three</p><iframe src=x><p>four</p></article>", "one\n\ntwo\n\nthree\n\nfour"),
+    ("<article><p>one</p><p>two</p></article> three <!-- not seen", "one\n\ntwo"),
     ("<article><p>1 < 2 and 3 > 2</p><p>a</3>b &#x41;&eacute;&nbsp;c</p></article>", "1 < 2 and 3 > 2\n\nab Aé c"),
     (f"<body><div class=q><h1>T</h1><p>{WORDS}</p><p>{WORDS}</p></div><div class=z1><p>Call us on monday</p></div></body>", f"T\n\n{WORDS}\n\n{WORDS}"),
 ]
