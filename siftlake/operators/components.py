@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siftlake.session import durable
@@ -17,16 +17,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     base = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
     loops = base.select(F.col("u").alias("id"))
-    now = durable(base.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = _sum(now)
+    now, seen = _written(base.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
         if not seen[0]:
             break
         large = _star(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), only_larger=True)
-        now = durable(_star(large, only_larger=False), "stars")
-        if (state := _sum(now)) == seen:
+        before = seen
+        now, seen = _written(_star(large, only_larger=False), "stars")
+        if seen == before:
             break
-        seen = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -46,6 +45,8 @@ def _star(pairs: DataFrame, only_larger: bool) -> DataFrame:
     return out.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
-def _sum(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % F.lit(1 << 40))).alias("s")).first()
-    return row["n"], row["s"] or 0
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """``df`` written, with the number of its rows and a checksum, both taken by the write itself."""
+    seen = Observation()
+    out = durable(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("s")), name)
+    return out, (seen.get["n"], seen.get["s"] or 0)

@@ -6,6 +6,7 @@ import atexit
 import io
 import pathlib
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[tuple[SparkSession, str]] = []
+_collected = 0.0
 
 
 def ship(spark: SparkSession) -> None:
@@ -63,6 +65,17 @@ def shared_dir(spark: SparkSession) -> str:
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+def _let_go(spark: SparkSession, every: float = 2.0) -> None:
+    """The shuffles of a query just written are of no more use; the driver's cleaner drops them once they are collected.
+
+    Small queries in a row share a collection: what they shuffle together is small as well.
+    """
+    global _collected
+    if time.monotonic() - _collected > every:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def durable(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -73,8 +86,7 @@ def durable(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/siftlake/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _OWN.append((spark, path))
-    # the shuffles of the query just written are of no more use; the driver's cleaner drops them once they are collected
-    spark.sparkContext._jvm.System.gc()
+    _let_go(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
@@ -112,7 +124,7 @@ class Log:
         counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
         counted.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/round={self._rounds}")
         self._rounds += 1
-        self.spark.sparkContext._jvm.System.gc()
+        _let_go(self.spark)
         return seen.get["n"]
 
     def read(self) -> DataFrame:
