@@ -12,7 +12,7 @@ from siftlake import api
 from siftlake.models import classifier
 from siftlake.operators import corpus, dedup
 from siftlake.operators.components import connected_components
-from siftlake.session import memoised
+from siftlake.session import durable_counted, memoised
 from siftlake.sources import files, warc
 from siftlake.streaming import events
 
@@ -173,6 +173,14 @@ def test_trained_classifier(spark):
         classifier.fit(d, labels.where("quality = 1"), "quality")
 
 
+def test_trained_classifier_after_an_observation(spark):
+    assert durable_counted(spark.range(3))[1] == 3
+    d = docs(spark, *["good prose" if i % 2 else "cheap pills" for i in range(20)])
+    labels = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    m = classifier.fit(d, labels, "toxic")
+    assert [r["label"] for r in classifier.classify(m, d, "no", "yes").orderBy("doc_id").select("pred.label").collect()] == ["no", "yes"] * 10
+
+
 def test_stream(spark, tmp_path):
     docs(spark, "word " * 60 + "a@b.org", "short").write.parquet(str(tmp_path / "in"))
     s = events.clean_stream(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in")))
