@@ -300,6 +300,17 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return R.mix(R.mix(four[:, :, 0], four[:, :, 1]), R.mix(four[:, :, 2], four[:, :, 3])) ^ R.mix(np.arange(BANDS, dtype=np.uint64), np.uint64(1))
 
 
+#: Longs of a set's bitmap.
+MAP = 16
+
+
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """``MAP`` longs in which every hash sets one bit. A bit that only one of two sets has is a hash that the other lacks."""
+    bits = np.zeros(64 * MAP, np.uint8)
+    bits[(h >> np.uint64(20)) % np.uint64(64 * MAP)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def widest(similarity: float, lost: float = 1e-6) -> int:
     """Bits in which fingerprints of two sets of this Jaccard similarity differ, but for a share ``lost`` of the pairs: each bit
     differs with the probability of the angle between the sets, over pi."""
@@ -328,7 +339,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A crowded bucket is never spelled out. Shingles that occur in one candidate only bound what it can share: classes with too many of
     them drop out, pairs with too many are not formed. The rest of a bucket is first compared with ``pivots`` members in turn,
     beginning with the one that has the fewest shingles of its own; only pairs that are not connected by then are compared with
-    each other. A bucket whose members all hang together costs one row a member. None of this loses a pair.
+    each other, and of these a row is made only if the bitmaps of their sets leave room for the similarity: near copies of one text
+    that are no near copies of each other differ in too many bits. A bucket whose members all hang together costs one row a member. None of this loses a pair.
 
     Only members of the same bucket with different components, and only the sets of classes that are in a candidate pair, are moved.
     Null and wordless texts are one class, the empty set. Repeated rows are one class. An empty table gives an empty result.
@@ -362,9 +374,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = R.WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array([shingle_set(t.as_py(), width, cache).tobytes() for t in b.column("t")], pa.binary())], ["v", "s"])
+            own = [shingle_set(t.as_py(), width, cache) for t in b.column("t")]
+            maps = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.empty(0, np.int64), *map(bitmap, own)])), MAP).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array([x.tobytes() for x in own], pa.binary()), maps], ["v", "s", "map"])
 
-    sets = durable(texts.mapInArrow(collect_sets, "v bigint, s binary").dropDuplicates(["v"]), "sets")
+    sets = durable(texts.mapInArrow(collect_sets, "v bigint, s binary, map array<bigint>").dropDuplicates(["v"]), "sets")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -403,11 +417,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if turn < pivots:
             met = now.join(mixed, "band").select("v", "fp", "n", "m", "c", *[F.col(f"p.{x}").alias(f"p{x}") for x in ("v", "fp", "n", "m", "c")])
         else:
-            rest = durable(now.join(mixed.select("band"), "band"), "rest")
-            met = rest.join(rest.select("band", *[F.col(x).alias(f"p{x}") for x in ("v", "fp", "n", "m", "c")]), "band").where("c < pc")
+            maps = sets.select("v", *[F.col("map")[i].alias(f"m{i}") for i in range(MAP)])
+            maps = maps.withColumn("w", sum((F.bit_count(f"m{i}") for i in range(1, MAP)), F.bit_count("m0")))
+            rest = durable(now.join(mixed.select("band"), "band").join(maps, "v"), "rest")
+            met = rest.join(rest.select("band", *[F.col(x).alias(f"p{x}") for x in rest.columns if x != "band"]), "band").where("c < pc")
         shared_most = F.least("m", "pm")
         could = (F.col("c") != F.col("pc")) & (shared_most >= similarity * (F.col("n") + F.col("pn") - shared_most))
-        close = met.where(could & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= apart))
+        could &= F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= apart
+        if turn == pivots:
+            # a set holds as many hashes of its own as it has bits that the other's map lacks, at least
+            both = sum((F.bit_count(F.col(f"m{i}").bitwiseAND(F.col(f"pm{i}"))) for i in range(1, MAP)), F.bit_count(F.col("m0").bitwiseAND(F.col("pm0"))))
+            could &= both + F.least(F.col("n") - F.col("w"), F.col("pn") - F.col("pw")) >= similarity / (1 + similarity) * (F.col("n") + F.col("pn")) - 1e-6
+        close = met.where(could)
         pairs, n = durable_counted(close.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")).distinct(), "pairs")
         more, n = verified(pairs) if n else (None, 0)
         if n:

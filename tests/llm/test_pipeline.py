@@ -177,3 +177,43 @@ def test_similar_groups_match_brute_force(spark):
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
     got = {r["doc_id"] for r in simhash.without_near_copies(docs).collect()}
     assert got == set(brute_near(rows)) and len(got) < 120
+
+
+def test_bitmaps_never_understate_what_sets_share():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 20, 300, 4000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)])
+        a, b = simhash.bitmap(x).view(np.uint64), simhash.bitmap(y).view(np.uint64)
+        both, w = int(np.bitwise_count(a & b).sum()), [int(np.bitwise_count(m).sum()) for m in (a, b)]
+        assert both + min(len(x) - w[0], len(y) - w[1]) >= n // 2
+
+
+def test_crowd_of_copies_that_are_no_copies_of_each_other(spark, monkeypatch):
+    rng = random.Random(12)
+    base = ["w%d" % i for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(150), 3):  # each edit is one of a few hundred, so that no shingle is in one text only
+            w[at] = "w%d" % ((at * 7 + rng.randrange(2)) % 150)
+        rows.append((i, " ".join(w)))
+    made, whole = [], simhash.durable_counted
+
+    def counted(df, name="part"):
+        out = whole(df, name)
+        made.extend([out[1]] * (name == "pairs"))
+        return out
+
+    monkeypatch.setattr(simhash, "durable_counted", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["_k"]["id"]: r["component"] for r in simhash.similar_groups(d).collect()}
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
+    label = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = label[i], label[j]
+                label = [y if c == x else c for c in label]
+    assert len({(a, got[i]) for i, a in enumerate(label)}) == len(set(label)) == len(set(got.values()))
+    assert made[-1] < 2 * len(rows)
