@@ -6,10 +6,11 @@ file: centroids of the sample are cells, every vector lies in its nearest cell a
 ones, and the best neighbours of all of them are merged. A cell too large for one task is dealt out in tiles that each
 query visits. The index is fitted on a bounded sample (``SAMPLE``) but holds every document.
 
-Documents and their neighbour lists then meet in one sort by (cell, place in it), by ranges, so that a hot cell is split like any other. A
-task takes the sorted rows in blocks of bounded size; greedy paths walk the graph from the vertex of lowest degree to its
-most similar unvisited neighbour, and windows are filled along the paths, one after another. A path ends where its next vertex lies in another block. What is left at the end of a task is
-cut into sequences whose lengths are powers of two, so nothing is padded.
+The vertices of the graph, without their documents, are then sorted by (cell, place in it), by ranges. A task takes them in blocks of bounded size,
+in which greedy paths go from the vertex of lowest degree to its most similar unvisited neighbour, and end before a neighbour in another block that
+is more similar than all that are left. Links between ends of different paths, from all blocks, join paths in the order of their similarity, until no such link
+is left: a path ends only where no neighbour of its end is the open end of another path. Paths, one after another, give every document its place in one stream of tokens, which
+is cut into windows. What is left at the end of the stream is cut into sequences whose lengths are powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.session import durable
+from siftlake.session import durable, release
 
 WINDOW = 1024
 DIMS = 256
-#: Documents and tokens that a path can run through at most: they are held in memory.
-BLOCK_DOCS, BLOCK_TOKENS = 4096, 4_000_000
+#: Vertices of the graph that greedy paths run through at once.
+BLOCK = 1 << 16
 NEIGHBOURS = 8
 #: Dimensions of the vectors; documents that the index is fitted on, about; vectors a cell, on average, and in one tile at most; cells that a query visits.
 AXES, SAMPLE, PER_CELL, TILE, PROBES = 8, 8192, 512, 8192, 6
@@ -237,108 +238,186 @@ def neighbours(tokens: DataFrame, k: int = NEIGHBOURS, tile: int = TILE) -> Data
     return found.repartition("vid").sortWithinPartitions("vid").mapInArrow(merge, "vid bigint, home int, p float, near binary")
 
 
-def walk(n: int, a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> list[int]:
-    """All of 0 .. n - 1 along greedy paths over undirected edges: each path starts at the unvisited vertex of lowest degree and goes to the most similar unvisited neighbour."""
+def walk_paths(n: int, a: np.ndarray, b: np.ndarray, sim: np.ndarray, beyond: np.ndarray | None = None) -> list[list[int]]:
+    """All of 0 .. n - 1 in greedy paths over undirected edges: each starts at the unvisited vertex of lowest degree and goes to the most similar unvisited neighbour.
+
+    ``beyond``: the similarity of each vertex's best neighbour elsewhere; a path ends where that is higher than what is left here.
+    """
     a, b, sim = np.r_[a, b], np.r_[b, a], np.r_[sim, sim]
     _, once = np.unique(a * n + b, return_index=True)
     a, b, sim = a[once], b[once], sim[once]
     degree = np.bincount(a, minlength=n)
     order = np.lexsort((b, degree[b], -sim, a))
-    a, b = a[order], b[order]
+    a, b, sim = a[order], b[order], sim[order].tolist()
     first = np.searchsorted(a, np.arange(n + 1)).tolist()
     b = b.tolist()
+    least = (np.full(n, -np.inf) if beyond is None else beyond).tolist()
     seen = [False] * n
-    out: list[int] = []
+    out: list[list[int]] = []
     for start in np.lexsort((np.arange(n), degree)).tolist():
-        v = start
+        v, path = start, []
         while v >= 0 and not seen[v]:
             seen[v] = True
-            out.append(v)
-            v = next((u for u in b[first[v] : first[v + 1]] if not seen[u]), -1)
+            path.append(v)
+            i = next((i for i in range(first[v], first[v + 1]) if not seen[b[i]]), -1)
+            v = b[i] if i >= 0 and sim[i] >= least[v] else -1
+        if path:
+            out.append(path)
     return out
 
 
-def _pieces(window: int, with_ids: bool):
+def walk(n: int, a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> list[int]:
+    """``walk_paths``, one path after another."""
+    return [v for path in walk_paths(n, a, b, sim) for v in path]
+
+
+def _walks(block: int):
+    """``(vid, frag, at, side, near)``: each vertex's path and place in it. ``side`` is 1 for the first of a path, 2 for the last, 3 for both; only these keep their list."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 40
-        sequence, offset = 0, 0
-        tail: list[tuple] = []
-        rows: list[tuple] = []
-        docs: list[tuple] = []
-        near: dict[int, bytes] = {}
-
-        def place(doc, ids: np.ndarray) -> None:
-            nonlocal sequence, offset
-            at = 0
-            while at < len(ids):
-                take = min(window - offset, len(ids) - at)
-                tail.append((doc, at, ids[at : at + take], len(ids)))
-                at += take
-                offset += take
-                if offset == window:
-                    flush(tail, 0)
-                    tail.clear()
-                    sequence, offset = sequence + 1, 0
-
-        def flush(parts: list[tuple], o: int) -> None:
-            for doc, start, ids, total in parts:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + sequence, o, ids.tobytes() if with_ids else None))
-                o += len(ids)
-
-        def block() -> None:
-            """Documents of one vector are one vertex; edges count if both ends are in the block."""
-            at: dict[int, int] = {}
-            of: list[list[int]] = []
-            for i, (_, _, v) in enumerate(docs):
-                if v not in at:
-                    at[v] = len(of)
-                    of.append([])
-                of[at[v]].append(i)
-            edges = [(at[v], at[int(u)], s) for v in at if v in near for u, s in np.frombuffer(near[v], _NEAR).tolist() if u in at]
-            a, b, sim = zip(*edges, strict=True) if edges else ((), (), ())
-            for v in walk(len(of), np.array(a, np.int64), np.array(b, np.int64), np.array(sim, np.float32)):
-                for i in of[v]:
-                    place(*docs[i][:2])
-            docs.clear()
+        frag = TaskContext.get().partitionId() << 32
+        vids: list[int] = []
+        near: list[bytes] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal frag
+            n, of = len(vids), np.repeat(np.arange(len(vids)), [len(x) // _NEAR.itemsize for x in near])
+            every, own = np.frombuffer(b"".join(near), _NEAR), np.array(vids, np.int64)
+            order = np.argsort(own)
+            to = order[np.searchsorted(own, every["v"], sorter=order).clip(max=n - 1)] if n else np.empty(0, np.int64)
+            here = own[to] == every["v"]
+            beyond = np.full(n, -np.inf, np.float32)
+            np.maximum.at(beyond, of[~here], every["s"][~here])
+            rows = []
+            for path in walk_paths(n, of[here], to[here], every["s"][here], beyond):
+                for i, v in enumerate(path):
+                    side = (i == 0) + 2 * (i == len(path) - 1)
+                    rows.append((vids[v], frag, i, side, near[v] if side else None))
+                frag += 1
+            vids.clear()
             near.clear()
+            c = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in c[:4]], pa.array(c[4], pa.binary())], ["vid", "frag", "at", "side", "near"])
+
+        for b in batches:
+            for v, x in zip(b.column("vid").to_pylist(), b.column("near").to_pylist(), strict=True):
+                vids.append(v)
+                near.append(x)
+                if len(vids) >= block:
+                    yield close()
+        if vids:
+            yield close()
+
+    return work
 
-        def batch() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:7]], pa.array(cols[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        size, kind = 0, pa.int64()
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = b.column("near").to_pylist()
+        at, every = pa.array(np.repeat(np.arange(len(lists)), [len(x) // _NEAR.itemsize for x in lists])), np.frombuffer(b"".join(lists), _NEAR)
+        yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("vid", "frag", "side")], pa.array(every["v"].copy()), pa.array(every["s"].copy())], ["a", "fa", "sa", "b", "s"])
+
+
+def _joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(frag, path, rank, flip)`` of the paths that links join. A link is taken if both its ends are open and lie on different paths; links come in their order."""
+    root: dict[int, int] = {}
+    full: dict[int, int] = {}
+    near: dict[int, list[tuple[int, int, int]]] = {}
+
+    def top(f: int) -> int:
+        while (up := root.get(f, f)) != f:
+            root[f] = root.get(up, up)
+            f = up
+        return f
+
+    for b in batches:
+        for a, fa, sa, c, fc, sc in zip(*[b.column(x).to_pylist() for x in ("a", "fa", "sa", "b", "fb", "sb")], strict=True):
+            if full.get(a, 0) > (sa == 3) or full.get(c, 0) > (sc == 3) or (x := top(fa)) == (y := top(fc)):
+                continue
+            root[x] = y
+            full[a], full[c] = full.get(a, 0) + 1, full.get(c, 0) + 1
+            near.setdefault(fa, []).append((fc, sa, sc))
+            near.setdefault(fc, []).append((fa, sc, sa))
+    out, done = [], set()
+    for head in sorted(f for f, x in near.items() if len(x) == 1):
+        if head in done:
+            continue
+        f, came, flip, rank = head, None, near[head][0][1] == 1, 0
+        while True:
+            done.add(f)
+            out.append((f, head, rank, flip))
+            onward = [x for x in near[f] if x[0] != came]
+            if not onward:
+                break
+            came, f, flip, rank = f, onward[0][0], onward[0][2] == 2, rank + 1
+    for i in range(0, len(out), 1 << 16):
+        f, h, r, x = zip(*out[i : i + (1 << 16)], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(h, pa.int64()), pa.array(r, pa.int64()), pa.array(x, pa.bool_())], ["frag", "path", "rank", "flip"])
+
+
+def paths(graph: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(vid, path, rank, at)``: the order of all vertices, path by path. ``graph``: as ``neighbours`` gives it.
+
+    Blocks only decide where greedy paths begin and end at first. Every link between open ends is then seen by one task, in the order of
+    similarity, which holds some hundred bytes a path with such a link, not the links.
+    """
+    parts = max(1, -(-graph.count() // (4 * block)))
+    order = ["home", "p", "vid"]
+    walked = durable(graph.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_walks(block), "vid bigint, frag bigint, at bigint, side bigint, near binary"), "walked")
+    ends = walked.where("side > 0")
+    links = ends.mapInArrow(_spelled, "a bigint, fa bigint, sa bigint, b bigint, s float").join(ends.select(F.col("vid").alias("b"), F.col("frag").alias("fb"), F.col("side").alias("sb")), "b").where("fa <> fb")
+    swap = F.col("a") > F.col("b")
+    links = links.select("s", *[F.when(swap, y).otherwise(F.col(x)).alias(x) for x, y in [(i, F.col(j)) for i, j in (("a", "b"), ("fa", "fb"), ("sa", "sb"), ("b", "a"), ("fb", "fa"), ("sb", "sa"))]])
+    links = links.repartition(1).sortWithinPartitions(F.desc("s"), "a", "b")
+    joined = durable(links.mapInArrow(_joins, "frag bigint, path bigint, rank bigint, flip boolean"), "joined")
+    at = F.when(F.col("flip"), -F.col("at")).otherwise(F.col("at"))
+    out = durable(walked.select("vid", "frag", "at").join(joined, "frag", "left").select("vid", F.coalesce("path", "frag").alias("path"), F.coalesce("rank", F.lit(0)).alias("rank"), at.alias("at")), "paths")
+    release(walked)
+    release(joined)
+    return out
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(row, n, part, start)``: where each row's tokens start among those of its task."""
+    from pyspark import TaskContext
+
+    part, at = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.column("n").to_numpy()
+        ends = at + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n"), pa.array(np.full(len(n), part)), pa.array(ends - n)], ["row", "n", "part", "start"])
+        at = int(ends[-1]) if len(ends) else at
+
+
+def _pieces(window: int, total: int, with_ids: bool):
+    cuts, at = [], total // window * window
+    while at < total:  # powers of two, the largest first
+        cuts.append(at)
+        at += 1 << ((total - at).bit_length() - 1)
+    cuts = np.array([*cuts, total], np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind = b.schema.field("doc_id").type
-            for doc, ids, v, list_ in zip(b.column("doc_id").to_pylist(), b.column("ids"), b.column("vid").to_pylist(), b.column("near").to_pylist(), strict=True):
-                if list_ is not None:
-                    near[v] = list_
-                    continue
-                docs.append((doc, np.frombuffer(ids.as_py(), np.uint16), v))
-                size += len(docs[-1][1])
-                if len(docs) >= BLOCK_DOCS or size >= BLOCK_TOKENS:
-                    block()
-                    size = 0
+            rows: list[tuple] = []
+            for doc, x, pos in zip(b.column("doc_id").to_pylist(), b.column("ids"), b.column("pos").to_pylist(), strict=True):
+                ids = np.frombuffer(x.as_py(), np.uint16)
+                at = 0
+                while at < len(ids):
+                    here = pos + at
+                    if here < cuts[0]:
+                        sequence, first = divmod(here, window)
+                        first, end = sequence * window, sequence * window + window
+                    else:
+                        k = int(np.searchsorted(cuts, here, "right")) - 1
+                        sequence, first, end = int(cuts[0]) // window + k, int(cuts[k]), int(cuts[k + 1])
+                    own = ids[at : at + end - here]
+                    rows.append((doc, at, len(own), zlib.crc32(own.astype("<u4").tobytes()), len(ids), sequence, here - first, own.tobytes() if with_ids else None))
+                    at += len(own)
             if rows:
-                yield batch()
-        block()
-        while tail:  # powers of two, the largest first
-            room = 1 << (sum(len(p[2]) for p in tail).bit_length() - 1)
-            now, rest = [], []
-            for doc, start, ids, total in tail:
-                take = min(room, len(ids))
-                if take:
-                    now.append((doc, start, ids[:take], total))
-                if take < len(ids):
-                    rest.append((doc, start + take, ids[take:], total))
-                room -= take
-            flush(now, 0)
-            sequence += 1
-            tail[:] = rest
-        if rows:
-            yield batch()
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("doc_id").type), *[pa.array(c, pa.int64()) for c in cols[1:7]], pa.array(cols[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return work
 
@@ -347,21 +426,29 @@ def pack_related(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", wind
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids)``: one row per piece of a document in a sequence.
 
     Every document's ids, closed by id 0, lie in exactly one place each. Sequences hold ``window`` (a power of two)
-    tokens, but for at most ``log2(window)`` sequences a task whose lengths are smaller powers of two: none is padded.
+    tokens, but for at most ``log2(window)`` whose lengths are smaller powers of two: none is padded.
     ``ids`` (with ``with_ids``) are the piece's ids as unsigned 16-bit numbers.
 
     Null and empty texts are the single id 0. Repeated rows are packed each. Long documents run through as many
     sequences as they need. Null ids are kept. An empty table gives an empty result; extra columns are ignored.
     """
     index = fit_index(docs, tokenizer, id_col, text_col)
-    made = durable(tokenise(docs, tokenizer, index, id_col, text_col), "tokens")
+    made = durable(tokenise(docs, tokenizer, index, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = made.agg(F.sum("n").alias("n")).first()["n"] or 0
     graph = durable(neighbours(made), "graph")
+    placed = paths(graph)
+    release(graph)
     parts = max(1, -(-total // TASK_TOKENS))
     kind = dict(made.dtypes)["doc_id"]
-    # a neighbour list comes before the documents of its vector
-    rows = made.select("doc_id", "ids", "vid", F.col("probes")[0].alias("home"), "p", F.lit(None).cast("binary").alias("near"), F.lit(1).alias("kind"))
-    lists = graph.select(F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("binary").alias("ids"), "vid", "home", "p", "near", F.lit(0).alias("kind"))
-    order = ["home", "p", "vid", "kind", "doc_id"]
-    dealt = rows.unionByName(lists).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "vid", "near")
-    return dealt.mapInArrow(_pieces(window, with_ids), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    order = ["path", "rank", "at", "vid", "doc_id", "row"]
+    stream = made.select("row", "doc_id", "vid", "n").join(placed, "vid").repartitionByRange(-(-parts // 8), *order).sortWithinPartitions(*order).select("row", "n")
+    stream = durable(stream.mapInArrow(_starts, "row bigint, n bigint, part bigint, start bigint"), "stream")
+    release(placed)
+    base, before = [], 0
+    for r in stream.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row a task
+        base.append((r["part"], before))
+        before += r["n"]
+    offsets = made.sparkSession.createDataFrame(base, "part bigint, base bigint")
+    at = stream.join(F.broadcast(offsets), "part").select("row", (F.col("start") + F.col("base")).alias("pos"))
+    dealt = made.select("row", "doc_id", "ids").repartition(parts, "row").join(at.repartition(parts, "row").hint("shuffle_hash"), "row").select("doc_id", "ids", "pos")
+    return dealt.mapInArrow(_pieces(window, total, with_ids), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")

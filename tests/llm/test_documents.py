@@ -454,3 +454,23 @@ def test_empty_tables(empty):
     assert quality.quality(empty).count() == 0
     assert sharding.shard_by_bytes(empty).count() == 0
     assert packing.pack_related(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 40, 1000])
+def test_paths_cross_blocks(spark, block):
+    rng = np.random.default_rng(5)
+    # a chain whose neighbours all lie in different cells, and a random graph beside it
+    near = {v: [(u, 0.9) for u in (v - 1, v + 1) if 0 <= u < 90] for v in range(90)}
+    near |= {v: [(int(u), float(np.float32(rng.random()))) for u in rng.choice(np.arange(100, 200), 4, replace=False) if u != v] for v in range(100, 200)}
+    rows = [(v, v % 7, float(v), np.array(x, packing._NEAR).tobytes()) for v, x in near.items()]
+    got = defaultdict(list)
+    for r in packing.paths(spark.createDataFrame(rows, "vid long, home int, p float, near binary").repartition(3), block).collect():
+        got[r["path"]].append(((r["rank"], r["at"]), r["vid"]))
+    found = [[v for _, v in sorted(x)] for x in got.values()]
+    assert sorted(v for x in found for v in x) == sorted(near)
+    chain = [x for x in found if x[0] < 100]
+    assert len(chain) == 1 and chain[0] in (list(range(90)), list(range(89, -1, -1)))
+    linked = {frozenset((v, u)) for v, x in near.items() for u, _ in x}
+    assert all(frozenset(e) in linked for x in found for e in zip(x, x[1:]))
+    ends = [(v, i) for i, x in enumerate(found) for v in (x[0], x[-1])]
+    assert not [1 for v, i in ends for u, j in ends if i != j and frozenset((v, u)) in linked]
