@@ -139,13 +139,12 @@ def _contexts(span: int, base: int, group: int):
         last = None
         for b in batches:
             rows: list[tuple] = []
-            for doc, th, t, hs, hot in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text"), b.column("hs"), b.column("hot"), strict=True):
+            cut = R.anchored((_units(t.as_py()) for t in b.column("text")), span, base)
+            for doc, th, t, hs, hot, (h, at, lo, hi) in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text"), b.column("hs"), b.column("hot"), cut, strict=True):
                 if (doc, th) == last:
                     continue
                 last = doc, th
                 text = t.as_py()
-                h = R.extend(_units(text), 1, base)
-                at, lo, hi = R.anchors(h, span - base + 1)
                 known = hs.values.to_numpy().view(np.uint64)
                 flags = np.array(hot.values.to_pylist(), bool)
                 hit = np.isin(h[at], known)
