@@ -9,7 +9,7 @@ is what makes the first level of the search small. Anchors that occur once in th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,18 +65,11 @@ def anchors(h: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
     ``windows``: how many entries of ``h`` lie in one window.
     """
-    at = _anchor_of(h, windows)
-    if not len(at):
-        return at, at, at
-    turn = np.flatnonzero(at[1:] != at[:-1]) + 1
-    first = np.r_[0, turn]
-    return at[first], first, np.r_[turn - 1, len(at) - 1]
-
-
-def _anchor_of(h: np.ndarray, windows: int) -> np.ndarray:
-    """The anchor's position for every window."""
     n = len(h) - windows + 1
-    out = [np.empty(0, np.int64)]
+    if n <= 0:
+        e = np.empty(0, np.int64)
+        return e, e, e
+    out = []
     for lo in range(0, n, _CHUNK):
         hi = min(lo + _CHUNK, n)
         key = h[lo : hi + windows - 1] & ~np.uint64((1 << 20) - 1)
@@ -87,40 +80,10 @@ def _anchor_of(h: np.ndarray, windows: int) -> np.ndarray:
             key = np.minimum(key[: len(key) - step], key[step:])
             width += step
         out.append((key & np.uint64((1 << 20) - 1)).astype(np.int64) + lo)
-    return np.concatenate(out)
-
-
-def anchored(units: Iterable[np.ndarray], span: int, base: int, least: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(h, at, first, last)`` of each text in turn: the hashes of its ``base``-unit pieces, and ``anchors`` of these.
-
-    Texts are joined up to ``least`` units or more and hashed at once, which costs far less than one by one; windows over an edge between texts are left out.
-    """
-
-    def settle(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        start = np.cumsum(sizes) - sizes
-        end = start + np.maximum(sizes - span + 1, 0)
-        h = extend(np.concatenate(held), 1, base)
-        every = _anchor_of(h, span - base + 1)
-        new = np.ones(len(every) + 1, bool)
-        new[1:-1] = every[1:] != every[:-1]
-        new[start[sizes >= span]] = True
-        new[end[sizes >= span]] = True
-        first = np.flatnonzero(new)
-        cut = np.searchsorted(first, start).tolist(), np.searchsorted(first, end).tolist()
-        for s, n, i, j in zip(start.tolist(), sizes.tolist(), *cut, strict=True):
-            yield h[s : s + max(n - base + 1, 0)], every[first[i:j]] - s, first[i:j] - s, first[i + 1 : j + 1] - 1 - s
-
-    held: list[np.ndarray] = []
-    n = 0
-    for u in units:
-        held.append(u)
-        n += len(u)
-        if n >= least:
-            yield from settle(held)
-            held, n = [], 0
-    if held:
-        yield from settle(held)
+    at = np.concatenate(out)
+    turn = np.flatnonzero(at[1:] != at[:-1]) + 1
+    first = np.r_[0, turn]
+    return at[first], first, np.r_[turn - 1, n - 1]
 
 
 Units = Callable[[bytes], np.ndarray]
@@ -142,14 +105,14 @@ def sketch(docs: DataFrame, units: Units, whole: Callable[[bytes], tuple[int, st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digest, n, sha, lists, flags = [], [], [], [], []
-            column = b.column("text")
-            for t, (h, at, _, _) in zip(column, anchored((units(t.as_py()) for t in column), span, base), strict=True):
+            for t in b.column("text"):
                 text = t.as_py()
                 size, total = whole(text)
                 digest.append(hashlib.blake2b(text, digest_size=16).digest())
                 n.append(size)
                 sha.append(total)
-                found, times = np.unique(h[at], return_counts=True)
+                h = extend(units(text), 1, base)
+                found, times = np.unique(h[anchors(h, span - base + 1)[0]], return_counts=True)
                 lists.append(found.view(np.int64))
                 flags.append(times > 1)
             at = pa.array(np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32))
