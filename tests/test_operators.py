@@ -3,6 +3,7 @@
 import bz2
 import glob
 import gzip
+import hashlib
 import os
 
 import pytest
@@ -12,6 +13,7 @@ from siftlake import api
 from siftlake.models import classifier
 from siftlake.operators import corpus, dedup
 from siftlake.operators.components import connected_components
+from siftlake.plans import catalogue
 from siftlake.session import durable_counted, memoised
 from siftlake.sources import files, warc
 from siftlake.streaming import events
@@ -52,6 +54,30 @@ def test_minhash(spark):
         dedup.MinHash(10, 3)
 
 
+def most_rows(spark, df):
+    """The rows of ``df``, and the most that an operator of its plan made."""
+    rows, seen, todo = df.collect(), [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        inner = [node.finalPhysicalPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("StageExec") and "Query" in kind else []
+        made = node.metrics().get("numOutputRows")
+        seen += [made.get().value()] if made.isDefined() else []
+        kids = node.children()
+        todo += inner + [kids.apply(i) for i in range(kids.size())]
+    return rows, max(seen)
+
+
+def test_signatures_make_no_row_a_shingle(spark, tmp_path):
+    d = docs(spark, *[" ".join(f"w{(i * 31 + j * j) % 997}" for j in range(400)) for i in range(20)], "Two words", " \n", None)
+    d = d.union(spark.createDataFrame([(20, "other words of the same id")], d.schema))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    rows, most = most_rows(spark, catalogue.minhash_signature(spark, str(tmp_path)))
+    assert len(rows) == 21 and most <= 24
+    pair = next(r for r in rows if r["doc_id"] == 20)
+    assert pair["h3"] == min(hashlib.md5(f"3|{s}".encode()).hexdigest() for s in ("two words", "other words of the same", "words of the same id"))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5), (300, 300), (None, 4)] + [(1000, 1001 + i) for i in range(50)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
