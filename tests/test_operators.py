@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,14 +55,14 @@ def test_minhash(spark):
         dedup.MinHash(10, 3)
 
 
-def most_rows(spark, df):
+def most_rows(spark, df, metric="numOutputRows"):
     """The rows of ``df``, and the most that an operator of its plan made."""
     rows, seen, todo = df.collect(), [0], [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
         kind = node.getClass().getSimpleName()
         inner = [node.finalPhysicalPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("StageExec") and "Query" in kind else []
-        made = node.metrics().get("numOutputRows")
+        made = node.metrics().get(metric)
         seen += [made.get().value()] if made.isDefined() else []
         kids = node.children()
         todo += inner + [kids.apply(i) for i in range(kids.size())]
@@ -78,6 +79,31 @@ def test_signatures_make_no_row_a_shingle(spark, tmp_path):
     assert pair["h3"] == min(hashlib.md5(f"3|{s}".encode()).hexdigest() for s in ("two words", "other words of the same", "words of the same id"))
 
 
+def near_copies(spark):
+    """Texts with copies that differ in some words, and the exact pairs of them."""
+    base = [[f"w{(i * 131 + j * j) % 9973}" for j in range(300)] for i in range(12)]
+    own = [" ".join(w if (j + 7 * k) % (160 // (k + 1)) else f"x{i}{k}" for j, w in enumerate(ws)) for i, ws in enumerate(base) for k in range(6)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in own]
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(own)) for b in range(a + 1, len(own))}
+    return docs(spark, *own), near
+
+
+def test_near_pairs_meet_outside_python(spark):
+    d, near = near_copies(spark)
+    found = dedup.near_duplicate_pairs(d)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a"], r["b"]): r["jaccard"] for r in found.collect()}
+    assert got == {k: v for k, v in near.items() if v >= 0.8} and 0 < len(got) < sum(v >= 0.5 for v in near.values())
+
+
+def test_bits_of_keys_hold_for_every_key(spark):
+    keys, others = ([r["h"] for r in spark.range(a, b).select(F.xxhash64("id").alias("h")).collect()] for a, b in ((0, 3000), (3000, 9000)))
+    for most, few in ((1 << 27, 200), (1 << 12, 4000)):
+        test = dedup._among(spark.range(3000), 3000, most)
+        assert test(np.array(keys)).all() and test(np.array(others)).sum() < few
+    assert not dedup._among(spark.range(0), 0)(np.array(keys)).any()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5), (300, 300), (None, 4)] + [(1000, 1001 + i) for i in range(50)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
