@@ -96,6 +96,14 @@ def test_near_pairs_meet_outside_python(spark):
     assert got == {k: v for k, v in near.items() if v >= 0.8} and 0 < len(got) < sum(v >= 0.5 for v in near.values())
 
 
+def test_links_are_written_once(spark):
+    d, near = near_copies(spark)
+    p = dedup.MinHash()
+    links = dedup._links(dedup._banded(d, p, "doc_id", "text"), p)
+    assert "Join" not in links._jdf.queryExecution().executedPlan().toString()
+    assert {(r["a"], r["b"]) for r in links.collect()} <= {k for k, v in near.items() if v >= 0.8}
+
+
 def test_bits_of_keys_hold_for_every_key(spark):
     keys, others = ([r["h"] for r in spark.range(a, b).select(F.xxhash64("id").alias("h")).collect()] for a, b in ((0, 3000), (3000, 9000)))
     for most, few in ((1 << 27, 200), (1 << 12, 4000)):
