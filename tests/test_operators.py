@@ -104,6 +104,22 @@ def test_links_are_written_once(spark):
     assert {(r["a"], r["b"]) for r in links.collect()} <= {k for k, v in near.items() if v >= 0.8}
 
 
+def test_kept_documents_are_not_shuffled(spark, tmp_path):
+    d, near = near_copies(spark)
+    d.write.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = dedup.minhash_dedup(spark.read.parquet(f"{tmp_path}/d"))
+        ids = {r["doc_id"] for r in kept.collect()}
+        gone = 72 - len(ids)
+        _, most = most_rows(spark, kept.select("doc_id"), "shuffleRecordsWritten")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < gone and most <= gone + 3
+    left = {min(k) for k, v in near.items() if v >= 0.8 and set(k) <= ids}
+    assert not left
+
+
 def test_bits_of_keys_hold_for_every_key(spark):
     keys, others = ([r["h"] for r in spark.range(a, b).select(F.xxhash64("id").alias("h")).collect()] for a, b in ((0, 3000), (3000, 9000)))
     for most, few in ((1 << 27, 200), (1 << 12, 4000)):
