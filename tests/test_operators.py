@@ -135,6 +135,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_training_reads_only_the_chosen_texts(spark, monkeypatch):
+    d = docs(spark, *[f"{'good' if i % 3 else 'bad'} text {i}" for i in range(500)], None)
+    labels = d.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    taken, fit = [], classifier.Pipeline.fit
+    monkeypatch.setattr(classifier.Pipeline, "fit", lambda self, df: taken.append(df) or fit(self, df))
+    want = [(r["doc_id"], r["text"] or "") for r in d.where("doc_id % 7 <> 0").orderBy(F.xxhash64("doc_id")).limit(60).collect()]
+    classifier.fit(d, labels, "quality", limit=60)
+    assert [(r["doc_id"], r["_text"]) for r in taken[0].collect()] == want
+    plan = taken[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    classifier.fit(d, labels, "quality")  # fewer than the limit: all
+    assert taken[1].count() == d.where("doc_id % 7 <> 0").count()
+    with pytest.raises(ValueError):
+        classifier.fit(d, labels.where("false"), "quality")
+
+
 def test_sample_and_chunks(spark):
     d = spark.range(1000).select((F.col("id") * 7).alias("doc_id"))
     a = [r["doc_id"] for r in corpus.sample(d, 10, 1, "doc_id").collect()]
