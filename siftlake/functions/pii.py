@@ -11,6 +11,9 @@ _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = f"{_OCTET}([.]{_OCTET}){{3}}"
 PHONE = "(^|[^0-9A-Za-z])([+]1[ .-]?)?([(][0-9]{3}[)]|[0-9]{3})[ .-]{0,2}[0-9]{3}[ .-]?[0-9]{4}\\b"
 
+# what PHONE finds after its first character, for an engine that can look around: most characters fail the first test, and nothing but the number is consumed
+_PHONE_ALONE = "(?=[+(0-9])(?<![0-9A-Za-z])(?:[+]1[ .-]?)?(?:[(][0-9]{3}[)]|[0-9]{3})[ .-]{0,2}[0-9]{3}[ .-]?[0-9]{4}\\b"
+
 
 def _masked(text: Column, pattern: str, to: str) -> Column:
     return F.struct(F.regexp_replace(text, pattern, to).alias("text"), F.regexp_count(text, F.lit(pattern)).alias("n"))
@@ -28,7 +31,8 @@ def mask_ips(text: Column) -> Column:
 
 def mask_phones(text: Column) -> Column:
     """struct<text, n> for ten-digit numbers, with or without +1, brackets and separators; longer digit runs stay."""
-    return _masked(text, PHONE, "$1" + PHONE_TOKEN)
+    parts = F.split(text, _PHONE_ALONE, -1)  # one search gives text and count
+    return F.struct(F.array_join(parts, PHONE_TOKEN).alias("text"), (F.array_size(parts) - 1).alias("n"))
 
 
 def mask_all(text: Column) -> Column:

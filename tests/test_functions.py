@@ -1,5 +1,7 @@
 """Row-local operators: masks, quality rules, languages, markup, URLs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,14 @@ def test_lexicons(spark):
     assert (bad["label"], good["label"]) == ("nsfw", "non-nsfw") and bad["score"] > 0 and good["score"] > 0
     bad, good = apply(spark, classifier.classify_toxic_words, "you stupid idiot", "thanks for the kind note")
     assert (bad["label"], good["label"]) == ("toxic", "non-toxic")
+
+
+def test_phones_are_searched_once(spark):
+    parts = ["555", "5550123", "0123", "212", "(212)", "+1", "+", " ", ".", "-", "1", "a", "\n", "\u00e9", "\U0001f600", "(", ")", "|||PHONE_NUMBER|||", "$1", "212-555-0123", "(212) 555-0123"]
+    draw = random.Random(3)
+    d = spark.createDataFrame([("".join(draw.choices(parts, k=draw.randrange(14))),) for _ in range(5000)] + [(None,), ("",)], "text string")
+    got = d.select(pii._masked(F.col("text"), pii.PHONE, "$1" + pii.PHONE_TOKEN).alias("a"), pii.mask_phones(F.col("text")).alias("b"))
+    rows = got.collect()
+    assert all(r["a"] == r["b"] for r in rows) and sum(r["b"]["n"] or 0 for r in rows) > 1000
+    plan = d.select(pii.mask_phones(F.col("text")).alias("m"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and plan.count("RegExp") == 0
